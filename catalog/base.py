@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from sward.functions.predicates import not_in
 from sward.operators.joins import left_lookup
 from sward.operators.panel import baseline_cohort, complete_panel, drop_empty_periods
-from sward.operators.ranking import top_one, with_group_max, with_group_mean, with_rank_percentile
+from sward.operators.ranking import top_one, with_group_mean, with_rank_percentile
 from sward.scale import join_on
 from sward.session import pin, tune
 
@@ -168,19 +168,19 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pinned ranked table with max_year, cohort, completed panel)."""
-    base = pin(with_group_max(ranked(spark, sf_dir), ["site_code"], "year_trt", "max_year"))
+    """(pinned ranked table, cohort, completed panel)."""
+    base = pin(ranked(spark, sf_dir))
     cohort = baseline_cohort(base)
+    last = base.groupBy("site_code").agg(F.max("year_trt").alias("max_year"))
+    keys = ["site_code", "plot", "Taxon"]
     series = left_lookup(
-        cohort.select("site_code", "plot", "Taxon"),
-        base.select(
-            "site_code", "plot", "Taxon", "cover", "max_cover", "rank", "perc_rank", "year_trt",
-            "max_year",
-        ),
-        ["site_code", "plot", "Taxon"],
+        cohort.select(*keys),
+        base.select(*keys, "cover", "max_cover", "rank", "perc_rank", "year_trt"),
+        keys,
     )
     filled = complete_panel(
-        series, ["site_code", "plot"], ["Taxon"], "year_trt", "max_year",
+        join_on(series, last, ["site_code"], "left"),
+        ["site_code", "plot"], ["Taxon"], "year_trt", "max_year",
         {"cover": 0.0, "max_cover": 0.0, "perc_rank": 0.0},
     )
     return base, cohort, filled

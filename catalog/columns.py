@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import TABLES, cover_max, followed, plot_meta, query, ranked, survey
+from catalog.base import cover_max, followed, panel, plot_meta, query, ranked, survey
 from sward.functions import scalar
 from sward.functions.predicates import ifelse, ifelse_in
 from sward.operators.report import (
     all_to_text, effect_block, relocate_before, rename_matching, unite, with_level_order,
 )
 
-assert TABLES
-
-
 @query("select_columns", "PJ1", sql="select site_code, plot, Taxon, max_cover from survey")
 def select_columns(spark, sf_dir):
     return survey(spark, sf_dir).select("site_code", "plot", "Taxon", "max_cover")
@@ -116,8 +113,6 @@ def substring_of_date(spark, sf_dir):
 select site_code || '_' || cast(year_trt as varchar) as id, site_code || '.' || cast(plot as varchar)
   as plot_id, coalesce(cast(rank as varchar), 'NA') as rank_text from panel""")
 def pasted_keys(spark, sf_dir):
-    from catalog.base import panel
-
     return panel(spark, sf_dir)[2].select(
         scalar.paste(F.col("site_code"), F.col("year_trt"), sep="_").alias("id"),
         scalar.paste(F.col("site_code"), F.col("plot"), sep=".").alias("plot_id"),
@@ -145,8 +140,6 @@ select site_code, plot, Taxon, year_trt,
   case when rank in (1, 2) then 'lead' else 'rest' end as lead
 from panel""")
 def conditional_values(spark, sf_dir):
-    from catalog.base import panel
-
     return panel(spark, sf_dir)[2].select(
         "site_code", "plot", "Taxon", "year_trt",
         ifelse(F.col("rank") == 1, "top", "lower").alias("place"),
@@ -194,8 +187,6 @@ select site_code, plot, Taxon, year_trt, round(adj, 6) as rank_adj,
 from (select *, case when perc_rank = 1 then 0.99::double when perc_rank = 0 then 0.01::double
   else perc_rank end as adj from panel) t""")
 def logit_of_clamped_rank(spark, sf_dir):
-    from catalog.base import panel
-
     adjusted = scalar.clamp_unit(F.col("perc_rank"))
     return panel(spark, sf_dir)[2].select(
         "site_code", "plot", "Taxon", "year_trt", adjusted.alias("rank_adj"),

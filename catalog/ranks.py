@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import TIE_ORDER, KEY, clean, cover_max, query, ranked, survey
+from catalog.base import KEY, TIE_ORDER, clean, cover_max, plot_meta, query, ranked, table
 from sward.operators.joins import first_per_key, repeats_per_key
 from sward.operators.ranking import (
     in_tied_groups, rebreak_ties, top_one, top_ties, value_at_max, with_change_from_first,
     with_distinct_count, with_group_max, with_group_mean, with_group_size, with_plot_frequency,
     with_rank, with_rank_percentile, with_share,
 )
-from sward.scale import cumulative_levels, join_on
+from sward.scale import join_on
 from sward.session import pin
 
 PLOT_YEAR = ["site_code", "year_trt", "plot"]
@@ -51,22 +51,15 @@ def competition_rank(spark, sf_dir):
 
 
 @query("competition_rank_split_groups", "WN3", sql="""
-select site_code, year_trt, ok, ln, pk,
-  rank() over (partition by site_code, year_trt order by extendedprice desc) as rank
-from (select s.site_code, s.year_trt, s.ok, cast(s.ln as bigint) as ln, s.pk,
-    s.max_cover * (1 + s.pk % 97) as extendedprice from survey s) t""")
+select l_returnflag, l_orderkey, l_partkey, l_suppkey, l_extendedprice,
+  rank() over (partition by l_returnflag order by l_extendedprice desc) as rank
+from lineitem""")
 def competition_rank_split_groups(spark, sf_dir):
-    # the whole table ranked by site-year through distinct levels, as for hot groups
-    rows = pin(
-        survey(spark, sf_dir).select(
-            "site_code", "year_trt", "ok", "ln", "pk",
-            (F.col("max_cover") * (1 + F.col("pk") % 97)).alias("price"),
-        )
+    # each flag holds a third of all rows; the limit sends all three down the split path
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"
     )
-    by = ["site_code", "year_trt"]
-    levels = cumulative_levels(rows, by, "price", descending=True)
-    ranks = levels.select(*by, "price", (F.col("upto") - F.col("n") + 1).alias("rank"))
-    return join_on(rows, ranks, [*by, "price"], "left").drop("price")
+    return with_rank(rows, ["l_returnflag"], "l_extendedprice", max_group_rows=1, small_input=0)
 
 
 @query("plot_richness", "WN4", sql="""
@@ -197,8 +190,6 @@ select site_code, plot, year_trt, round(vascular_live_mass, 6) as vascular_live_
   select *, row_number() over (partition by site_code order by plot, year_trt) as rn
   from plot_meta) t where rn > 1""")
 def repeat_rows_per_site(spark, sf_dir):
-    from catalog.base import plot_meta
-
     meta = pin(plot_meta(spark, sf_dir).select("site_code", "plot", "year_trt",
                                                "vascular_live_mass"))
     return repeats_per_key(meta, ["site_code"], ["plot", "year_trt"])

@@ -29,6 +29,11 @@ def paste(*columns: Column, sep: str = " ") -> Column:
     return F.concat_ws(sep, *parts)
 
 
+def number_text(column: Column) -> Column:
+    """A number as text, whole numbers without a decimal part."""
+    return F.regexp_replace(column.cast("string"), r"\.0$", "")
+
+
 def signif(column: Column, digits: int) -> Column:
     """Round to ``digits`` significant digits."""
     power = F.lit(float(digits - 1)) - F.floor(F.log10(F.abs(column)))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.functions.scalar import TREATMENTS
+from sward.functions.scalar import TREATMENTS, number_text
 from sward.scale import join_on
 
 
@@ -59,19 +59,13 @@ def flag_against_control(
     )
     flagged = _outside(F.col("__control"), F.col("lower_time"), F.col("upper_time"))
     marked = F.when((F.col("trt") != control) & flagged, F.lit(mark)).otherwise(F.lit(""))
-    joined = join_on(times, base, by, "left") if by else _with_one_row(times, base)
+    joined = join_on(times, base, by, "left")
     return joined.withColumn(
-        "text", F.concat(F.col("mean_time").cast("string"), marked)
+        "text", F.concat(number_text(F.col("mean_time")), marked)
     ).drop("__control")
 
 
-def _with_one_row(times: DataFrame, base: DataFrame) -> DataFrame:
-    return join_on(times, base, [], "left")
-
-
-def flag_against_level(
-    times: DataFrame, level: str, base_level: Column, mark: str = "†"
-) -> DataFrame:
+def flag_against_level(times: DataFrame, base_level: Column, mark: str = "†") -> DataFrame:
     """Mark ``text`` of other levels whose mean is outside the base level's interval.
 
     ``base_level`` is the condition that holds for rows of the base level; levels

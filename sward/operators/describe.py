@@ -9,7 +9,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.scale import MAX_GROUP_ROWS, cumulative_levels, hot_groups, join_on
+from sward.scale import (
+    MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on,
+)
 
 
 def row_col_count(df: DataFrame) -> DataFrame:
@@ -59,6 +61,7 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     max_group_rows: int = MAX_GROUP_ROWS,
+    small_input: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Exact quantiles by linear interpolation, one row per group.
 
@@ -67,7 +70,7 @@ def quantiles(
     each quantile are read off running counts instead.
     """
     by = list(by)
-    if hot_groups(df, by, max_group_rows) is None:
+    if hot_groups(df, by, max_group_rows, small_input) is None:
         exact = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
         row = df.groupBy(*by).agg(exact.alias("__q"))
         return row.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])

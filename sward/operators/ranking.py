@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.operators.joins import first_per_key, keep_matching
-from sward.scale import MAX_GROUP_ROWS, cumulative_levels, hot_groups, join_on, join_totals
+from sward.scale import (
+    MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on, join_totals,
+)
 
 
 def with_group_max(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -43,12 +45,13 @@ def with_rank(
     value: str,
     out: str = "rank",
     max_group_rows: int = MAX_GROUP_ROWS,
+    small_input: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Competition rank, largest first: ties share a rank, the next one is skipped.
 
     A null value has a null rank.
     """
-    return _ranked(df, by, value, out, hot_groups(df, by, max_group_rows))
+    return _ranked(df, by, value, out, hot_groups(df, by, max_group_rows, small_input))
 
 
 def _window_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -76,13 +79,14 @@ def with_rank_percentile(
     by: Sequence[str],
     value: str,
     max_group_rows: int = MAX_GROUP_ROWS,
+    small_input: int = SMALL_INPUT_BYTES,
 ) -> DataFrame:
     """Share of total, its rank, richness and rank percentile within the group.
 
     Adds ``rel_cover``, ``rank``, ``rich`` and ``perc_rank``; the percentile is 1
     for the top row and 1/rich for the last.
     """
-    hot = hot_groups(df, by, max_group_rows)
+    hot = hot_groups(df, by, max_group_rows, small_input)
     if hot is None:
         group = Window.partitionBy(*by)
         sized = df.withColumns(

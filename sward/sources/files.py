@@ -51,17 +51,16 @@ def read_remote_csv(
 
 
 def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
-    """Path of the last file by name among those that match a glob pattern.
+    """Path of the last entry by name among those in a folder that match a glob.
 
-    Only names are read, never contents.
+    An entry is a single file or a folder of part files; only names are read.
     """
-    listing = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    ).select("path")
-    last = listing.agg(F.max("path")).first()[0]
+    listing = spark.read.format("binaryFile").load(f"{folder}/{pattern}").select("path")
+    inside = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
+    last = listing.agg(F.max(F.substring_index(inside, "/", 1))).first()[0]
     if last is None:
-        raise FileNotFoundError(f"no file in {folder} matches {pattern}")
-    return last
+        raise FileNotFoundError(f"nothing in {folder} matches {pattern}")
+    return f"{folder.rstrip('/')}/{last}"
 
 
 def write_table(
