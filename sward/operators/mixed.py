@@ -468,6 +468,8 @@ class _Search:
     center: np.ndarray
     radius: float = 0.3
     done: bool = False
+    best: float = math.inf
+    best_point: np.ndarray | None = None
 
     def trials(self) -> np.ndarray:
         """The center, its neighbours along each axis, and the corners around it."""
@@ -479,15 +481,25 @@ class _Search:
         return self.center + self.radius * np.array(offsets)
 
     def update(self, points: np.ndarray, values: np.ndarray, tolerance: float) -> None:
-        """Move to the minimum of a quadratic through the trial values."""
+        """Move to the minimum of a quadratic through the trial values.
+
+        A move that turns out worse than the best point so far is taken back.
+        """
+        low = int(np.argmin(values))
+        failed = values[0] > self.best + tolerance
+        if values[low] < self.best:
+            self.best, self.best_point = float(values[low]), np.abs(points[low])
+        if failed:
+            self.center, self.radius = self.best_point, self.radius * 0.4
+            self.done = self.radius < 1e-4
+            return
         size = len(self.center)
         offsets = (points - self.center) / self.radius
         pairs = [(i, j) for i in range(size) for j in range(i, size)]
         terms = np.column_stack(
             [np.ones(len(points)), offsets] + [offsets[:, i] * offsets[:, j] for i, j in pairs]
         )
-        low = int(np.argmin(values))
-        weights, *_ = np.linalg.lstsq(terms, values - values[low], rcond=None)
+        weights, *_ = np.linalg.lstsq(terms, values - values[0], rcond=None)
         gradient = weights[1 : size + 1]
         hessian = np.zeros((size, size))
         for weight, (i, j) in zip(weights[size + 1 :], pairs):
@@ -501,19 +513,14 @@ class _Search:
              for g, k in zip(along, curvature)]
         )
         inside = bool(np.all(np.abs(step) <= 1.0))
-        step = np.clip(step, -3.0, 3.0)
-        predicted = float(gradient @ step + step @ hessian @ step / 2.0 + weights[0])
-        if predicted <= tolerance:
-            self.center = self.center + self.radius * step
-        else:
-            self.center = points[low]
-        if float(values.max() - values.min()) < tolerance or (inside and self.radius < 5e-3):
+        moved = self.center + self.radius * np.clip(step, -3.0, 3.0)
+        # zero is the axis of symmetry: a step across it stops there
+        self.center = np.where(moved * np.where(self.center < 0, -1.0, 1.0) < 0.0, 0.0, np.abs(moved))
+        if float(np.ptp(values)) < tolerance or (inside and self.radius < 5e-3):
             self.done = True
         elif inside:
             self.radius *= 0.15
-        elif predicted > tolerance:
-            self.radius *= 0.5
-        elif np.any(np.abs(step) >= 3.0):
+        elif np.abs(step).max() > 2.0:
             self.radius *= 2.0
 
 
