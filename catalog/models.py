@@ -10,11 +10,12 @@ from sward.functions.scalar import arcsine_root, clamp_unit, logit
 from sward.operators import mixed_outputs
 from sward.operators.describe import five_numbers, histogram, normal_qq
 from sward.operators.design import design_matrix, factorial
-from sward.operators.margins import contrasts, reference_grid, year_steps
-from sward.operators.mixed import Evaluator, fit_designs, group_sums, solve
+from sward.operators.margins import back_transform, contrasts, reference_grid, year_steps
+from sward.operators.mixed import Evaluator, fit_designs, group_sums, model_at, solve
 from sward.operators.panel import eligible_series
 from sward.operators.report import tidy_anova, tidy_coefficients
 from sward.plans import decay
+from sward.scale import join_on
 from sward.session import pin
 
 KEYS = ["site_code", "plot", "Taxon"]
@@ -66,10 +67,7 @@ select cast(i as bigint) as i, cast(j as bigint) as j, round(sum(z[i] * z[j]), 6
 from (select [1.0, x, y] as z from {_ROWS} r) a, (values (1), (2), (3)) b(i), (values (1), (2), (3)) c(j)
 group by 1, 2""")
 def cross_products(spark, sf_dir):
-    rows = pin(followed(spark, sf_dir)).withColumn(
-        "rank_logit", logit(clamp_unit(F.col("perc_rank")))
-    )
-    sums = group_sums(rows, "rank_logit", factorial([["year_trt"]]), KEYS)
+    _, sums = year_sums(spark, sf_dir)
     cells = [
         (i + 1, j + 1, float(v)) for (i, j), v in np.ndenumerate(sums.gram)
     ]
@@ -89,8 +87,8 @@ _SUMS = """sum(m11) as m11, sum(mx1) as mx1, sum(my1) as my1, sum(mxx) as mxx, s
     sum(myy) as myy, sum(ld) as ld, sum(w) as w, sum(sx) as sx, sum(sy) as sy"""
 
 
-@query("reml_criterion", "LM2", "LM4", sql=f"""
-with trials(trial, st, pt, tt) as (values
+_CRITERION = f"""
+trials(trial, st, pt, tt) as (values
   {", ".join(f"({i + 1}, {a}::double, {b}::double, {c}::double)" for i, (a, b, c) in enumerate(_TRIALS))}),
 obs as (select * from {_ROWS} r),
 taxa0 as (select trial, st, pt, tt, site_code, plot, Taxon, 0.0::double as m11, 0.0::double as mx1,
@@ -107,15 +105,44 @@ g as (select count(*) as n, sum(x) as x, sum(y) as y, sum(x * x) as xx, sum(x *
     sum(y * y) as yy from obs),
 m as (select trial, n, ld, g.n - m11 as a, g.x - mx1 as b, g.xx - mxx as d, g.y - my1 as e,
     g.xy - mxy as f, g.yy - myy as h from gone, g),
-s as (select *, (h - (d * e * e - 2 * b * e * f + a * f * f) / (a * d - b * b)) / (n - 2) as s2 from m)
-select cast(trial as bigint) as trial, round((d * e - b * f) / (a * d - b * b), 6) as intercept,
-  round((a * f - b * e) / (a * d - b * b), 6) as slope, round(s2, 6) as sigma2,
+s as (select *, (d * e - b * f) / (a * d - b * b) as b0, (a * f - b * e) / (a * d - b * b) as b1,
+    (h - (d * e * e - 2 * b * e * f + a * f * f) / (a * d - b * b)) / (n - 2) as s2 from m)"""
+
+# Random effects of the first trial, from the outermost level down.
+_EFFECTS = f"""{_CRITERION},
+one as (select t.*, s.b0, s.b1, s.s2 from trials t join s using (trial) where trial = 1),
+et as (select o.site_code, o.plot, o.Taxon, st, pt, tt, count(*) as n, sum(y - b0 - b1 * x) as t
+  from obs o, one group by all),
+ep as (select site_code, plot, st, pt, sum(n / (1 + n * tt)) as w, sum(t / (1 + n * tt)) as t
+  from et group by all),
+es as (select site_code, st, sum(w / (1 + pt * w)) as w, sum(t / (1 + pt * w)) as t
+  from ep group by all),
+bs as (select site_code, st * t / (1 + st * w) as site_effect from es),
+bp as (select ep.site_code, ep.plot, bs.site_effect,
+    pt * (t - w * bs.site_effect) / (1 + pt * w) as plot_effect
+  from ep join bs on ep.site_code = bs.site_code),
+bt as (select et.site_code, et.plot, et.Taxon, site_effect, plot_effect,
+    tt * (t - n * (site_effect + plot_effect)) / (1 + n * tt) as taxon_effect
+  from et join bp on et.site_code = bp.site_code and et.plot = bp.plot)"""
+
+
+def year_sums(spark, sf_dir):
+    """Model rows and their sums for a design of intercept and year."""
+    rows = pin(
+        followed(spark, sf_dir).select(
+            *KEYS, "year_trt", logit(clamp_unit(F.col("perc_rank"))).alias("rank_logit")
+        )
+    )
+    return rows, group_sums(rows, "rank_logit", factorial([["year_trt"]]), KEYS)
+
+
+@query("reml_criterion", "LM2", "LM4", sql=f"""
+with {_CRITERION}
+select cast(trial as bigint) as trial, round(b0, 6) as intercept, round(b1, 6) as slope,
+  round(s2, 6) as sigma2,
   round(-((n - 2) * (ln(2 * pi() * s2) + 1) + ld + ln(a * d - b * b)) / 2, 6) as loglik from s""")
 def reml_criterion(spark, sf_dir):
-    rows = pin(followed(spark, sf_dir)).withColumn(
-        "rank_logit", logit(clamp_unit(F.col("perc_rank")))
-    )
-    sums = group_sums(rows, "rank_logit", factorial([["year_trt"]]), KEYS)
+    _, sums = year_sums(spark, sf_dir)
     evaluator = Evaluator(sums)
     found = []
     for i, (matrix, logdet) in enumerate(evaluator.evaluate(np.array(_TRIALS)), 1):
@@ -127,6 +154,74 @@ def reml_criterion(spark, sf_dir):
     )
 
 
+@query("coefficients_at_given_variances", "LM3", "LM4", "PJ8", sql=f"""
+with {_CRITERION}, k as (select count(*) as taxa from (select distinct site_code, plot, Taxon from obs) q)
+select unnest(['(Intercept)', 'year_trt']) as Effect, round(unnest([b0, b1]), 6) as Value,
+  round(unnest([sqrt(s2 * d / (a * d - b * b)), sqrt(s2 * a / (a * d - b * b))]), 6) as "Std.Error",
+  cast(n - k.taxa - 1 as double) as DF,
+  round((n - 2) * (ln(2 * pi() * s2) + 1) + ld + ln(a * d - b * b) + 2 * (2 + 3 + 1), 6) as AIC
+from s, k where trial = 1""")
+def coefficients_at_given_variances(spark, sf_dir):
+    model = model_at(year_sums(spark, sf_dir)[1], _TRIALS[0])
+    table = mixed_outputs.coefficient_table(spark, model)
+    return table.select("Effect", "Value", "`Std.Error`", "DF", F.lit(model.aic()).alias("AIC"))
+
+
+@query("random_effects_at_given_variances", "LM8", sql=f"""
+with {_EFFECTS}
+select site_code, plot, Taxon, round(site_effect, 6) as site_effect,
+  round(plot_effect, 6) as plot_effect, round(taxon_effect, 6) as taxon_effect from bt""")
+def random_effects_at_given_variances(spark, sf_dir):
+    model = model_at(year_sums(spark, sf_dir)[1], _TRIALS[0])
+    rows = None
+    for depth, (group, name) in enumerate(
+        zip(KEYS, ["site_effect", "plot_effect", "taxon_effect"]), 1
+    ):
+        effects = mixed_outputs.random_effects(model)[group].withColumnRenamed("effect", name)
+        rows = effects if rows is None else join_on(effects, rows, KEYS[: depth - 1], "left")
+    return rows
+
+
+@query("fitted_at_given_variances", "LM10", sql=f"""
+with {_EFFECTS}
+select o.site_code, o.plot, o.Taxon, cast(o.x as bigint) as year_trt, round(b0 + b1 * o.x, 6) as fixed,
+  round(b0 + b1 * o.x + site_effect + plot_effect + taxon_effect, 6) as fitted,
+  round((o.y - (b0 + b1 * o.x + site_effect + plot_effect + taxon_effect)) / sqrt(s2), 6) as pearson
+from obs o join bt on o.site_code = bt.site_code and o.plot = bt.plot and o.Taxon = bt.Taxon, one""")
+def fitted_at_given_variances(spark, sf_dir):
+    rows, sums = year_sums(spark, sf_dir)
+    scored = mixed_outputs.with_fitted(rows, model_at(sums, _TRIALS[0]))
+    return scored.select(*KEYS, "year_trt", "fixed", "fitted", "pearson")
+
+
+@query("r_squared_at_given_variances", "LM7", sql=f"""
+with {_CRITERION}, v as (select var_samp(b0 + b1 * x) as fixed, any_value(s2) as e,
+    any_value(s2) * ({" + ".join(map(str, _TRIALS[0]))}) as random from obs, s where trial = 1)
+select round(fixed / (fixed + random + e), 6) as R2m,
+  round((fixed + random) / (fixed + random + e), 6) as R2c from v""")
+def r_squared_at_given_variances(spark, sf_dir):
+    rows, sums = year_sums(spark, sf_dir)
+    return mixed_outputs.r_squared(rows, model_at(sums, _TRIALS[0]))
+
+
+@query("back_transformed_band", "EM3", "RC8", sql=f"""
+select trt, year_trt, round(1 / (1 + exp(-m)), 6) as mean_btrans,
+  round(1 / (1 + exp(-(m + 2 * se))), 6) as upper_btrans,
+  round(1 / (1 + exp(-(m - 2 * se))), 6) as lower_btrans
+from (select trt, year_trt, avg(ln(adj / (1 - adj))) as m,
+    stddev_samp(ln(adj / (1 - adj))) / sqrt(count(*)) as se from {_ADJ} a group by 1, 2) t""")
+def back_transformed_band(spark, sf_dir):
+    value = logit(clamp_unit(F.col("perc_rank")))
+    error = F.stddev_samp("y") / F.sqrt(F.count(F.lit(1)))
+    means = followed(spark, sf_dir).withColumn("y", value).groupBy("NPK", "Fence", "year_trt").agg(
+        F.avg("y").alias("emmean"), (F.avg("y") - 2 * error).alias("lower_CL"),
+        (F.avg("y") + 2 * error).alias("upper_CL"),
+    )
+    return back_transform(means).select(
+        "trt", "year_trt", "mean_btrans", "upper_btrans", "lower_btrans"
+    )
+
+
 @query("full_model_coefficients", "LM2", "LM3", "PV6", "PJ8", "RC10")
 def full_model_coefficients(spark, sf_dir):
     _, known = frames(spark, sf_dir)
@@ -196,10 +291,7 @@ select site_code, plot, Taxon, cast(x as bigint) as year_trt, round(1.0::double
   + pow(x - avg(x) over (), 2) / (count(*) over () * var_pop(x) over ()), 6) as leverage
 from {_ROWS} r""")
 def leverage(spark, sf_dir):
-    rows = pin(followed(spark, sf_dir)).withColumn(
-        "rank_logit", logit(clamp_unit(F.col("perc_rank")))
-    )
-    sums = group_sums(rows, "rank_logit", factorial([["year_trt"]]), KEYS)
+    rows, sums = year_sums(spark, sf_dir)
     scored = mixed_outputs.with_leverage(rows.select(*KEYS, "year_trt"), sums)
     return scored.select(*KEYS, "year_trt", "leverage")
 

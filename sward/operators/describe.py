@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sward.scale import (
     MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on,
 )
+from sward.session import pin
 
 
 def row_col_count(df: DataFrame) -> DataFrame:
@@ -74,6 +75,7 @@ def quantiles(
         exact = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
         row = df.groupBy(*by).agg(exact.alias("__q"))
         return row.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    df = pin(df.select(*by, value))
     levels = cumulative_levels(df, by, value)
     sizes = df.groupBy(*by).agg(F.count(value).alias("__size"))
     located = join_on(levels, sizes, by, "inner")

@@ -560,17 +560,38 @@ def fit_designs(
         found = evaluator.evaluate(final)
     finally:
         evaluator.close()
-    models = []
-    for search, design, ratios, (matrix, logdet) in zip(searches, designs, final, found):
-        solution = solve(matrix, logdet, search.columns, sums.rows, method)
-        scale = solution.sigma2
-        models.append(
-            MixedModel(
-                design, sums.groups, method, sums.rows, solution.beta, solution.inverse * scale,
-                scale, ratios, solution.loglik, containment_df(design, sums), sums,
-            )
-        )
-    return models
+    return [
+        _model(sums, design, ratios, matrix, logdet, method)
+        for design, ratios, (matrix, logdet) in zip(designs, final, found)
+    ]
+
+
+def _model(
+    sums: GroupSums,
+    design: Design,
+    ratios: np.ndarray,
+    matrix: np.ndarray,
+    logdet: float,
+    method: str,
+) -> MixedModel:
+    columns = [sums.design.names.index(name) for name in design.names]
+    solution = solve(matrix, logdet, columns, sums.rows, method)
+    return MixedModel(
+        design, sums.groups, method, sums.rows, solution.beta,
+        solution.inverse * solution.sigma2, solution.sigma2, ratios, solution.loglik,
+        containment_df(design, sums), sums,
+    )
+
+
+def model_at(sums: GroupSums, ratios: Sequence[float], method: str = "REML") -> MixedModel:
+    """The model with given variance ratios, outermost first, instead of fitted ones."""
+    evaluator = Evaluator(sums)
+    trial = np.array([ratios], dtype=float)
+    try:
+        matrix, logdet = evaluator.evaluate(trial)[0]
+    finally:
+        evaluator.close()
+    return _model(sums, sums.design, trial[0], matrix, logdet, method)
 
 
 def fit_nested_lmm(

@@ -16,6 +16,7 @@ from sward.operators.joins import first_per_key, keep_matching
 from sward.scale import (
     MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on, join_totals,
 )
+from sward.session import pin
 
 
 def with_group_max(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -65,7 +66,8 @@ def _ranked(
 ) -> DataFrame:
     if hot is None:
         return _window_rank(df, by, value, out)
-    flagged = join_on(df, hot.withColumn("__hot", F.lit(True)), by, "left")
+    # pinned, since three branches read it
+    flagged = pin(join_on(df, hot.withColumn("__hot", F.lit(True)), by, "left"))
     cold = flagged.filter(F.col("__hot").isNull()).drop("__hot")
     large = flagged.filter(F.col("__hot")).drop("__hot")
     levels = cumulative_levels(large, by, value, descending=True)
