@@ -14,12 +14,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.operators.design import Design
@@ -126,14 +125,14 @@ def group_sums(
     partial = frame.select(*design.variables, response).mapInPandas(
         _row_gram(design, response), f"{_SUM} int, {_doubles(names)}"
     )
-    gram = _collect_matrix(partial.groupBy(_SUM).agg(*[F.sum(c).alias(c) for c in names]), names)
+    gram = _collect_matrix(partial.groupBy(_SUM).agg(*_sums(names)), names)
     z = [c.alias(name) for name, c in zip(names, [*design.columns(), F.col(response)])]
-    spread = [F.min(c).alias(f"lo{i}") for i, c in enumerate(names[:-1])]
-    spread += [F.max(c).alias(f"hi{i}") for i, c in enumerate(names[:-1])]
+    spread = [F.expr(f"min({c}) as lo{i}") for i, c in enumerate(names[:-1])]
+    spread += [F.expr(f"max({c}) as hi{i}") for i, c in enumerate(names[:-1])]
     inner = pin(
         frame.select(*groups, *z)
         .groupBy(*groups)
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in names], *spread)
+        .agg(F.count(F.lit(1)).alias("n"), *_sums(names), *spread)
     )
     counts = [
         inner.select(*groups[:k]).distinct().count() for k in range(1, len(groups))
@@ -141,15 +140,13 @@ def group_sums(
     parents = groups[:-1]
     # groups of one size under one parent share their weight, so only their sum matters
     cells = pin(
-        inner.groupBy(*parents, "n").agg(
-            F.count(F.lit(1)).alias("m"), *[F.sum(c).alias(c) for c in names]
-        )
+        inner.groupBy(*parents, "n").agg(F.count(F.lit(1)).alias("m"), *_sums(names))
     )
     inner_gram = pin(
         inner.select("n", *names)
         .mapInPandas(_size_gram(width), f"n long, {_SUM} int, {_doubles(names)}, m long")
         .groupBy("n", _SUM)
-        .agg(*[F.sum(c).alias(c) for c in names], F.sum("m").alias("m"))
+        .agg(*_sums([*names, "m"]))
     )
     return GroupSums(
         design, response, groups, check["rows"], gram, inner, cells, inner_gram, counts,
@@ -160,27 +157,30 @@ def group_sums(
 def _column_strata(inner: DataFrame, design: Design, groups: list[str]) -> dict[str, int]:
     """Innermost level with a group in which the column varies, 0 when there is none.
 
-    Level k counts from 1 at the outermost groups.
+    Level k counts from 1 at the outermost groups. Levels are tried from the inside,
+    each only for the columns that did not vary further in.
     """
-    size = len(design.effects)
-    level = inner
-    flags = []
+    strata = dict.fromkeys(design.names, 0)
+    left = list(range(len(design.names)))
     for depth in range(len(groups), 0, -1):
+        if not left:
+            break
+        level = inner
         if depth < len(groups):
-            level = level.groupBy(*groups[:depth]).agg(
-                *[F.min(f"lo{i}").alias(f"lo{i}") for i in range(size)],
-                *[F.max(f"hi{i}").alias(f"hi{i}") for i in range(size)],
+            level = inner.groupBy(*groups[:depth]).agg(
+                *[F.expr(f"min(lo{i}) as lo{i}") for i in left],
+                *[F.expr(f"max(hi{i}) as hi{i}") for i in left],
             )
-        varies = [
-            F.max((F.col(f"lo{i}") < F.col(f"hi{i}")).cast("int")).alias(f"v{i}")
-            for i in range(size)
-        ]
-        flags.append(level.agg(F.lit(depth).alias("depth"), *varies))
-    rows = reduce(DataFrame.unionByName, flags).collect()
-    return {
-        name: max((row["depth"] for row in rows if row[f"v{i}"]), default=0)
-        for i, name in enumerate(design.names)
-    }
+        row = level.agg(*[F.expr(f"bool_or(lo{i} < hi{i}) as v{i}") for i in left]).first()
+        for i in left:
+            if row[f"v{i}"]:
+                strata[design.names[i]] = depth
+        left = [i for i in left if not row[f"v{i}"]]
+    return strata
+
+
+def _sums(names: Sequence[str]) -> list[Column]:
+    return [F.expr(f"sum({name}) as {name}") for name in names]
 
 
 def _collect_matrix(rows: DataFrame, names: Sequence[str]) -> np.ndarray:
@@ -341,6 +341,7 @@ class Evaluator:
         self.sums = sums
         self.names = _z(sums.width)
         keys = sums.groups[:-1]
+        self.totals = _sums([*self.names, "w"])
         self.types = {f.name: f.dataType.simpleString() for f in sums.cells.schema.fields}
         self.cells = None
         if keys:
@@ -357,9 +358,7 @@ class Evaluator:
         return f"trial int, {typed + ', ' if keys else ''}{_SUM} int, {_doubles(self.names)}, w double"
 
     def _summed(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        return rows.groupBy("trial", *keys, _SUM).agg(
-            *[F.sum(c).alias(c) for c in [*self.names, "w"]]
-        )
+        return rows.groupBy("trial", *keys, _SUM).agg(*self.totals)
 
     def evaluate(self, ratios: np.ndarray) -> list[tuple[np.ndarray, float]]:
         """(cross-product matrix under the trial covariance, its log determinant)."""
