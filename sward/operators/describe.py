@@ -121,14 +121,17 @@ def value_range(df: DataFrame, value: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
-    """Counts in equal-width bins over the range; the last bin is closed."""
+    """Counts in equal-width bins over the range; the last bin is closed.
+
+    Without any spread all values are in the first bin.
+    """
     bounds = df.agg(
         F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi")
     )
     spread = F.col("__hi") - F.col("__lo")
     raw = F.floor(F.try_divide((F.col(value) - F.col("__lo")) * F.lit(bins), spread))
     binned = join_on(df.filter(F.col(value).isNotNull()), bounds, [], "left").withColumn(
-        "bin", F.coalesce(F.least(raw, F.lit(bins - 1)), F.lit(0)).cast("long")
+        "bin", F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("long")
     )
     width = F.col("__width")
     return (

@@ -159,6 +159,12 @@ def test_correlation_guards_constant_columns(spark):
     assert matrix["a", "c"] is None
 
 
+def test_histogram_edges_and_constant_column(spark):
+    df = spark.createDataFrame([(float(x), 3.0) for x in range(11)] + [(None, 3.0)], "x double, c double")
+    assert rows(describe.histogram(df, "x", 5), "bin", "n") == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 3)]
+    assert rows(describe.histogram(df, "c", 5), "bin", "n") == [(0, 12)]
+
+
 def test_share_of_an_empty_set_is_null(spark):
     df = spark.createDataFrame([(1,)], "x int")
     share = describe.share_where(F.col("x") == 1, F.col("x") > 5)
