@@ -107,16 +107,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, sa
     return np.frombuffer(vectors.mapInArrow(fit, "weights binary").first()["weights"], np.float32).astype(np.float64)
 
 
-def score_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1,
+def with_score(
+    docs: DataFrame, labels: DataFrame, name: str, label: str = "quality", parts: int = 3, held: int = 1,
     sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, score (label 1 likelier when higher), predicted.
-
-    Labels are learned only outside fold ``held`` of ``parts``. Empty and null texts get the bias
-    alone; without labels every score is 0.5. Equal texts get equal scores. Of ``docs`` only
-    doc_id and text are read, of ``labels`` doc_id and the label.
-    """
+    """``docs`` with the score in a new column ``name``; rows keep their place, nothing is shuffled."""
     spark = prepare(docs.sparkSession)
     weights = train(docs, labels, label, fold(F.col("doc_id"), parts) != held, sample_rows)
     shared = spark.sparkContext.broadcast(weights.astype(np.float32))  # 2 ** BITS floats, whatever the input
@@ -127,12 +122,23 @@ def score_quality(
             for low, high, text in text_slices(batch):
                 index, row, value = features(text)
                 score = sigmoid(np.bincount(row, weights=w[index] * value, minlength=text.rows) + w[-1])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), pa.array(score)], names=["doc_id", "score"]
-                )
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
-    source = docs.select("doc_id", "text")
-    scored = source.mapInArrow(run, T.StructType([source.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+
+def score_quality(
+    docs: DataFrame, labels: DataFrame, label: str = "quality", parts: int = 3, held: int = 1,
+    sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
+    """One row per document: doc_id, held_out, score (label 1 likelier when higher), predicted.
+
+    Labels are learned only outside fold ``held`` of ``parts``. Empty and null texts get the bias
+    alone; without labels every score is 0.5. Equal texts get equal scores. Of ``docs`` only
+    doc_id and text are read, of ``labels`` doc_id and the label.
+    """
+    scored = with_score(docs.select("doc_id", "text"), labels, "score", label, parts, held, sample_rows)
     return scored.select(
         "doc_id", (fold(F.col("doc_id"), parts) == held).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),

@@ -25,6 +25,12 @@ WINDOW = 10
 # a larger benchmark is scanned by several automata, one after the other.
 AUTOMATON_BYTES = 8 << 20
 
+_LONGS = T.ArrayType(T.LongType())
+FOUND = (
+    ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()),
+    ("contaminated", T.BooleanType()), ("starts", _LONGS), ("stops", _LONGS), ("items", _LONGS),
+)
+
 _TABLE = bytearray(range(256))
 for _b in range(128):
     if 65 <= _b <= 90:
@@ -54,7 +60,7 @@ def automaton(items: list[tuple[int, str]], window: int = WINDOW):
     return machine if holders else None
 
 
-def _scan(batches: Iterator[pa.RecordBatch], slices: list[list[tuple[int, str]]], window: int) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], slices: list[list[tuple[int, str]]], window: int, prefix: str) -> Iterator[pa.RecordBatch]:
     machines = [m for m in (automaton(part, window) for part in slices) if m is not None] if len(slices) == 1 else None
     for batch in batches:
         count = [[], [], [], []]
@@ -81,10 +87,10 @@ def _scan(batches: Iterator[pa.RecordBatch], slices: list[list[tuple[int, str]]]
                 items.append(sorted(held))
         longs = pa.int64()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, longs) for c in count[:3]), pa.array(count[3], pa.string()),
+            [*batch.columns, *(pa.array(c, longs) for c in count[:3]), pa.array(count[3], pa.string()),
              pa.array([n > 0 for n in count[1]], pa.bool_()), pa.array(starts, pa.list_(longs)),
              pa.array(stops, pa.list_(longs)), pa.array(items, pa.list_(longs))],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "starts", "stops", "items"],
+            names=[*batch.schema.names, *(f"{prefix}{name}" for name, _ in FOUND)],
         )
 
 
@@ -119,16 +125,13 @@ def _spans(flat: bytes, n_words: int, runs: list) -> tuple[int, list[tuple[int,
     return int(marked.sum()), spans
 
 
-def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-    id_col: str = "doc_id", text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES,
+def with_leaks(
+    docs: DataFrame, benchmark: DataFrame, prefix: str = "leak_", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES
 ) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, spans, items.
+    """``docs`` with the columns of ``FOUND``, named with ``prefix``; nothing is shuffled.
 
-    ``starts``/``stops`` are byte offsets of the hit runs in the original text. The item list is
-    read by the driver and sent to the tasks in slices of at most ``automaton_bytes`` of text. Null
-    or wordless texts and items match nothing; equal items count under each of their ids; items
-    without an id are left out. Only id and text are read, so other columns may have any name.
+    The item list is read by the driver and sent to the tasks in slices of at most ``automaton_bytes``
+    of text, of which a task holds one automaton at a time.
     """
     prepare(docs.sparkSession)
     kept = benchmark.select("item_id", "text").filter("item_id is not null and text is not null")
@@ -140,12 +143,20 @@ def find_leaks(
             room = automaton_bytes
         slices[-1].append((row["item_id"], row["text"]))
         room -= size
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, kind) for name, kind in FOUND)])
+    return docs.mapInArrow(lambda batches: _scan(batches, slices, window, prefix), schema)
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+    id_col: str = "doc_id", text_col: str = "text", automaton_bytes: int = AUTOMATON_BYTES,
+) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, starts, stops, items.
+
+    ``starts``/``stops`` are byte offsets of the hit runs in the original text. Null or wordless texts and
+    items match nothing; equal items count under each of their ids; items without an id are left out. Equal
+    rows give equal results, an empty table an empty one. Only id and text are read, so other columns may
+    have any name.
+    """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([
-        T.StructField("doc_id", source.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-        T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-        T.StructField("starts", longs), T.StructField("stops", longs), T.StructField("items", longs),
-    ])
-    return source.mapInArrow(lambda batches: _scan(batches, slices, window), schema)
+    return with_leaks(source, benchmark, "", window, automaton_bytes).drop("text")

@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sward.llm.bands import compression_bands
 from sward.llm.classifier import score_quality
 from sward.llm.common import table
 from sward.llm.decontaminate import find_leaks
+from sward.llm.extraction import main_text
 from sward.llm.mixing import mix_sources
+from sward.llm.neardup import near_duplicates
 from sward.llm.sharding import shard_documents
+from sward.llm.substrings import remove_repeats
+from sward.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -49,3 +54,24 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_sharding")
 def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents")).drop("group")
+
+
+@query("op8_toxic_segments")
+def toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op7_main_text")
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+@query("op3_minhash_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query("op1_suffix_dedup")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("starts", "stops", "kept")

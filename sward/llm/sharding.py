@@ -79,6 +79,20 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
 
 
+def _group(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
+def with_shard(docs: DataFrame, shards: int = SHARDS, name: str = "shard", text_col: str = "text") -> DataFrame:
+    """``docs`` with the shard of each row in a new column ``name``; equal texts share a shard."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sized = docs.select(_group(text).alias("grp"), (F.octet_length(text) + 1).cast("long").alias("size"))
+    groups = pin(sized.groupBy("grp").agg(F.sum("size").alias("bytes")))
+    placed = shard_groups(groups, shards).select(F.col("grp").alias("__g"), F.col("shard").alias("__shard"))
+    return docs.join(placed, _group(text) == F.col("__g")).drop("__g").withColumnRenamed("__shard", name)
+
+
 def shard_documents(
     docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -93,7 +107,7 @@ def shard_documents(
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = pin(docs.select(
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("grp"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), _group(text).alias("grp"),
     ).withColumn("row", F.monotonically_increasing_id()))
     groups = pin(base.groupBy("grp").agg(F.sum("size").alias("bytes")))
     placed = pin(
