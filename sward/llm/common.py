@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sward.session import shared_dir, tune
 
 __all__ = [
-    "SLICE_BYTES", "Text", "WORD_BREAKS", "mix", "numbered", "prepare", "prefix_hashes", "span_hashes",
+    "SLICE_BYTES", "Text", "WORD_BREAKS", "mix", "numbered", "prepare", "prefix_hashes", "row_prefix_hashes", "span_hashes",
     "table", "text_slices",
 ]
 
@@ -71,6 +71,14 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_prefix_hashes(rows: np.ndarray) -> np.ndarray:
+    """Prefix polynomial hashes along each row of a byte matrix; one column more."""
+    out = np.zeros((rows.shape[0], rows.shape[1] + 1), np.uint64)
+    np.multiply(_LETTERS[rows], _power_tables(rows.shape[1] + 1)[0][: rows.shape[1]], out=out[:, 1:])
+    np.cumsum(out, axis=1, out=out)
+    return out
+
+
 def span_hashes(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hash of each byte span [start, stop), the same wherever equal bytes stand."""
     return mix((prefix[stop] - prefix[start]) * _power_tables(len(prefix))[1][start])

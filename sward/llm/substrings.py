@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sward.llm.common import mix, prepare, span_hashes, text_slices
+from sward.llm.common import mix, prepare, text_slices
 from sward.llm.suffixes import LENGTH, SIDE, Contexts, anchors
 from sward.session import pin
 
 # Contexts of one gram that one task sorts together, and contexts that it takes up at a time.
-SORT_TOGETHER = 4096
+SORT_TOGETHER = 16384
 TAKE = 8192
 WIDTH = SIDE + LENGTH
 
@@ -94,15 +94,16 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, near = np.nonzero(step == 1)
         far = np.nonzero(step == -1)[1] - 1
         out = [(node[row], place[row] - far, place[row] - near + LENGTH, np.zeros(len(row), np.int64), np.zeros(len(row), bool), np.ones(len(row), bool))]
-        dealt = np.flatnonzero(np.array(part["salts"]) > 1)
+        dealt, grams = np.flatnonzero(np.array(part["salts"]) > 1), np.array(part["gram"], np.int64)
         if len(dealt):
             for back in range(SIDE + 1):
                 use = dealt[(contexts.left[dealt] >= back) & (contexts.right[dealt] >= LENGTH - back)]
-                at = contexts.start[use] - back
-                text_hash = span_hashes(contexts.prefix, at, at + LENGTH)
-                one, pick = np.unique(text_hash, return_index=True)
+                gram = mix(grams[use].view(np.uint64))
+                string = mix(contexts.strings(use, back) + gram)
+                # once per group: what one group holds twice is known to be repeated
+                pick = np.unique(mix(string + contexts.group[use]), return_index=True)[1]
                 at = use[pick]
-                out.append((node[at], place[at] - back, place[at] - back + LENGTH, one.view(np.int64), found[at, back], np.zeros(len(at), bool)))
+                out.append((node[at], place[at] - back, place[at] - back + LENGTH, string[pick].view(np.int64), found[at, back], np.zeros(len(at), bool)))
         columns = [np.concatenate(c) for c in zip(*out)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0]), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3], mask=columns[5]), pa.array(columns[4])],
@@ -186,7 +187,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = marked.join(whole, (F.col("gram") == F.col("__g")) & (F.col("context") == F.col("__c")), "left_semi").select(
         "node", F.greatest(F.lit(0), F.col("place") - SIDE).cast("long").alias("start"), (F.col("place") + LENGTH).cast("long").alias("stop")  # cut at the text's end later
     )
-    mixed = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("__g"), "kinds")
+    mixed = pin(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(F.col("gram").alias("__g"), "kinds"))
     salts = F.ceil(F.col("kinds") / SORT_TOGETHER).cast("int")
     open_ones = classes.join(mixed, F.col("gram") == F.col("__g")).select(
         "gram", "one.node", "one.place", salts.alias("salts"), F.pmod(F.xxhash64("one"), salts).cast("int").alias("salt")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from sward.llm.common import Text, mix, prefix_hashes, span_hashes
+from sward.llm.common import Text, mix, prefix_hashes, row_prefix_hashes, span_hashes
 
 # Fixed value: the length of the strings that count as repeated.
 LENGTH = 200
@@ -63,14 +63,18 @@ class Contexts:
 
     def __init__(self, group: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray):
         self.group, self.left, self.right, self.rows = group, left, right, rows
-        n, width = rows.shape
-        flat = prefix_hashes(rows.ravel())
-        self.prefix, self.start = flat, np.arange(n) * width + SIDE
+        # spans of one column range are compared, so their hashes need no shift to a common place
+        self.prefix = row_prefix_hashes(rows)
 
     def same(self, a, b, size) -> np.ndarray:
         """Whether ``size`` bytes from the anchors on have equal hashes."""
-        x, y = self.start[a], self.start[b]
-        return span_hashes(self.prefix, x, x + size) == span_hashes(self.prefix, y, y + size)
+        p, stop = self.prefix, SIDE + size
+        return p[a, stop] - p[a, SIDE] == p[b, stop] - p[b, SIDE]
+
+    def strings(self, rows: np.ndarray, back: int) -> np.ndarray:
+        """Hashes of the strings that start ``back`` bytes left of the anchors; equal ones share gram and ``back``."""
+        inner = self.prefix[rows, SIDE - back + LENGTH] - self.prefix[rows, SIDE - back]
+        return mix(mix(inner) + np.uint64(back))
 
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension to the right of the anchors, by binary search."""
@@ -145,12 +149,11 @@ class Contexts:
             if len(use) < 2:
                 continue
             rows = order[use]
-            stop = self.start[rows]
-            key = mix(span_hashes(self.prefix, stop - back, stop) + mix(cluster[use].astype(np.uint64)))
+            key = mix(self.prefix[rows, SIDE] - self.prefix[rows, SIDE - back] + mix(cluster[use].astype(np.uint64)))
             by = np.argsort(key, kind="stable")
             same = np.flatnonzero(key[by[1:]] == key[by[:-1]])
             x, y = by[same], by[same + 1]
-            sound = (self.rows[rows[x], :][:, SIDE - back : SIDE] == self.rows[rows[y], :][:, SIDE - back : SIDE]).all(axis=1) & (cluster[use[x]] == cluster[use[y]])
+            sound = (self.rows[rows[x], SIDE - back : SIDE] == self.rows[rows[y], SIDE - back : SIDE]).all(axis=1) & (cluster[use[x]] == cluster[use[y]])
             if sound.all():
                 found[rows[x], back] = found[rows[y], back] = True
             else:  # a hash collision: compare the bytes themselves
