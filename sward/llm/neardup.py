@@ -1,9 +1,10 @@
 """MinHash near-dedup: SuperMinHash signatures, banding, exact verification, union-find.
 
 Texts with one shingle set are one node. A node's bands put it in buckets; inside a bucket no pairs are
-listed: every member is first compared with the bucket's least member, on full sets. Links give
-components. Only members of one bucket that are still in different components are compared further, and
-pairs whose sizes rule the similarity out are left out.
+listed: every member is first compared, on full sets, with the bucket's hub, the member that meets most
+others over all its buckets. Links give components. Where the buckets of one hub still hold several components,
+their members are compared across components inside tasks, in blocks of at most BLOCK members, and only links
+are given out. Members of the largest component of a block are never compared with one another.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHINGLE_WORDS = 5
 PERCENT = 80
 # 25 bands of 5: a pair at the limit is missed with chance (1 - 0.8^5)^25 < 0.0001, closer ones with less.
 BAND_ROWS = 5
+# Members of one hub's buckets that one task compares.
+BLOCK = 4096
 
 
 def _profile(rows: int, key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,6 +86,62 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links between components inside each (center, low, high); rows come sorted by these."""
+    held: list[tuple] = []
+
+    def links(group: list[tuple]) -> tuple[list[int], list[int]]:
+        node, mine = (np.array([row[i] for row in group], np.int64) for i in (3, 4))
+        parts = [np.frombuffer(row[5], np.uint64) for row in group]
+        size = np.array([len(p) for p in parts], np.int64)
+        name, index = np.unique(np.concatenate(parts), return_inverse=True)
+        begin = np.concatenate(([0], np.cumsum(size)))
+        label, own, count = np.unique(mine, return_inverse=True, return_counts=True)
+        found: tuple[list[int], list[int]] = ([], [])
+        held_in = np.zeros(len(name), np.int64)
+        for i in np.flatnonzero(own != count.argmax()):
+            held_in[index[begin[i] : begin[i + 1]]] = 1
+            shared = np.add.reduceat(held_in[index], begin[:-1])
+            held_in[index[begin[i] : begin[i + 1]]] = 0
+            hit = (shared * 100 >= (size + size[i] - shared) * percent) & (own != own[i])
+            if hit.any():
+                # one link to each component is enough
+                at = np.flatnonzero(hit)[np.unique(own[hit], return_index=True)[1]]
+                found[0].extend([int(node[i])] * len(at))
+                found[1].extend(node[at].tolist())
+        return found
+
+    def work(group):
+        a, b = links(group)
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(name).to_pylist() for name in ("center", "low", "high", "node", "mine", "shingles"))):
+            if held and held[-1][:3] != row[:3]:
+                yield from work(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from work(held)
+
+
+def links_across(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between nodes of one center and different components; ``rest`` is (center, node, mine), stored."""
+    blocks = rest.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("center", "__c")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        rest.join(blocks, F.col("center") == F.col("__c")).withColumn("own", own)
+        .select("center", "node", "mine", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("center", "node", "mine", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    )
+    full = dealt.join(sets.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).drop("__n")
+    return (
+        full.repartition("center", "low", "high").sortWithinPartitions("center", "low", "high")
+        .mapInArrow(lambda batches: _across(batches, percent), "a long, b long")
+    )
+
+
 def verified(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b, shared, n_a, n_b, linked) of the pairs, compared on full sets."""
     x = sets.select(F.col("node").alias("__x"), F.col("shingles").alias("x"))
@@ -114,9 +173,12 @@ def near_duplicates(
     base = pin(profiles(source, words))
     nodes = pin(base.filter("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
     rows = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    least = rows.groupBy("bucket").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    buckets = pin(rows.join(least.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b")).select("bucket", "node", "n", "center"))
-    sizes = pin(buckets.select("node", "n").distinct())
+    crowd = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    met = pin(rows.join(crowd.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b")).drop("__b"))
+    sizes = pin(met.groupBy("node").agg(F.first("n").alias("n"), F.sum(F.col("members") - 1).alias("degree")))
+    ranked = met.select("bucket", "node").join(sizes.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).drop("__n")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("center"))
+    buckets = pin(ranked.join(hubs.withColumnRenamed("bucket", "__b"), F.col("bucket") == F.col("__b")).drop("__b"))
     # texts of the nodes in shared buckets, one document for each
     one = nodes.join(sizes.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi").select(F.col("doc_id").alias("__d"), F.col("node").alias("__n"))
     held = source.join(one, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
@@ -124,34 +186,28 @@ def near_duplicates(
     sets = pin(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
     # first comparison: the center that a node shares most buckets with
     shared = buckets.filter("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("times"))
-    first = shared.groupBy("node").agg(F.max(F.struct("times", -F.col("center"))).alias("__m")).select(F.col("node").alias("a"), (-F.col("__m.col2")).alias("b"))
+    first = shared.groupBy("node").agg(F.max(F.struct("times", "center"))["center"].alias("b")).select(F.col("node").alias("a"), "b")
     known = pin(verified(first, sets, sizes, percent))
     labels = _label(nodes, known)
     # then, as long as it joins components, each component of a bucket with the bucket's center
     held_pairs = known
     for _ in range(2):
         open_buckets = _named(_named(buckets, labels, "node", "mine"), labels, "center", "theirs").filter("mine <> theirs")
-        # one member a component and bucket, with the size nearest to the center's unknown: the least
-        tries = open_buckets.groupBy("center", "mine").agg(F.min("node").alias("a")).select("a", F.col("center").alias("b"))
+        # of each component the member that meets most others
+        tries = open_buckets.groupBy("center", "mine").agg(F.max(F.struct("degree", "node"))["node"].alias("a")).select("a", F.col("center").alias("b"))
         tries = _untried(_fitting(tries, sizes, percent), held_pairs)
         got = pin(verified(tries, sets, sizes, percent))
         if got.filter("linked").isEmpty():
             break
         held_pairs = pin(held_pairs.union(got))
         labels = _label(nodes, held_pairs)
-    # last: every pair of one bucket whose components still differ, unless ruled out
-    mixed = _named(buckets, labels, "node", "mine")
-    several = mixed.groupBy("bucket").agg(F.min("mine").alias("__lo"), F.max("mine").alias("__hi")).filter("__lo <> __hi").select(F.col("bucket").alias("__b"))
-    rest = mixed.join(several, F.col("bucket") == F.col("__b"), "left_semi").select("bucket", "node", "n", "mine")
-    other = rest.select(F.col("bucket").alias("__b"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("mine").alias("theirs"))
-    pairs = (
-        rest.join(other, (F.col("bucket") == F.col("__b")) & (F.col("mine") != F.col("theirs")) & (F.col("node") < F.col("b")) & _size_fits(F.col("n"), F.col("m"), percent))
-        .select(F.col("node").alias("a"), "b").distinct()
-    )
-    pairs = pin(_untried(pairs, held_pairs))
-    if not pairs.isEmpty():
-        held_pairs = held_pairs.union(verified(pairs, sets, sizes, percent))
-        labels = _label(nodes, held_pairs)
+    # last: members of one hub's buckets whose components still differ
+    mixed = _named(buckets, labels, "node", "mine").select("center", "node", "mine").distinct()
+    several = mixed.groupBy("center").agg(F.min("mine").alias("__lo"), F.max("mine").alias("__hi")).filter("__lo <> __hi").select(F.col("center").alias("__c"))
+    rest = pin(mixed.join(several, F.col("center") == F.col("__c"), "left_semi"))
+    more = pin(links_across(rest, sets, percent))
+    if not more.isEmpty():
+        labels = _label(nodes, held_pairs.filter("linked").select("a", "b").union(more).withColumn("linked", F.lit(True)))
     final = base.join(labels.select(F.col("node").alias("__n"), "component_id"), (F.col("node") == F.col("__n")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
