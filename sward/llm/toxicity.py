@@ -127,7 +127,7 @@ def p_value(stat: np.ndarray, model: Model) -> np.ndarray:
 
 def score_scale(scores: np.ndarray, clean: np.ndarray) -> float:
     """The positive root of the sum of p * exp(scale * score) = 1 over clean tokens."""
-    p = clean / max(clean.sum(), 1.0)
+    p, scores = clean / max(clean.sum(), 1.0), scores.astype(np.float64)
     low, high = 1e-3, 1.0
     while high < 64 and (p * np.exp(np.minimum(high * scores, 600.0))).sum() < 1:
         high *= 2
