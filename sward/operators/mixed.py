@@ -530,7 +530,10 @@ def fit_designs(
     max_rounds: int = 60,
     tolerance: float = 1e-6,
 ) -> list[MixedModel]:
-    """Fit submodels of the collected design together; a round of trials is one job."""
+    """Fit submodels of the collected design together; a round of trials is one job.
+
+    Raises when a search has not converged after ``max_rounds``.
+    """
     position = {name: i for i, name in enumerate(sums.design.names)}
     searches = [
         _Search([position[name] for name in design.names], np.full(len(sums.groups), 0.6))
@@ -555,6 +558,8 @@ def fit_designs(
                      for i in where]
                 )
                 search.update(block, values, tolerance)
+        if not all(s.done for s in searches):
+            raise RuntimeError(f"the variance search did not converge in {max_rounds} rounds")
         final = np.square(np.array([s.center for s in searches]))
         found = evaluator.evaluate(final)
     finally:

@@ -83,7 +83,7 @@ def clean_cover(rows: DataFrame, rule: CohortRules) -> DataFrame:
         if "months" in item:
             month = F.substring("date", 6, 2)
             kept = kept.filter(
-                ~((F.col(item["column"]) == item["value"]) & month.isin(item["months"]))
+                ~((F.col(item["column"]) == item["value"]) & F.coalesce(month.isin(item["months"]), F.lit(False)))
             )
         else:
             kept = kept.filter(

@@ -25,7 +25,7 @@ FACTORS = {
     "local_provenance": ["Native", "Non-native"],
     "func_simple": ["Graminoid", "Non-graminoid"],
 }
-# Report label and predictor of each family that may be dropped.
+# Predictor of each family that may be dropped, under a report label.
 FAMILIES = {
     "Initial Cover": "initial_rel_cover",
     "Lifespan": "local_lifespan",
@@ -33,7 +33,7 @@ FAMILIES = {
     "Functional Group": "func_simple",
     "Site Richness": "site_richness",
     "MAP": "MAP_v2",
-    "Preciptation variability": "MAP_VAR_v2",
+    "Precipitation variability": "MAP_VAR_v2",
 }
 SIMPLE_DROPS = ["MAP_v2", "site_richness", "MAP_VAR_v2", "func_simple", "local_provenance"]
 

@@ -43,11 +43,13 @@ def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on same-named keys in which a null key matches a null key.
 
-    The result carries the left side's keys once, then the other columns.
+    The result carries the left side's keys once, then the other columns. Without keys the
+    right side is one summary row for every left row; the query fails if it has more.
     """
     if not keys:
-        # one summary row of an ungrouped aggregate against every row
-        return left.join(F.broadcast(right.limit(1)), F.lit(True), how)
+        row = right.agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct("*")).alias("__row"))
+        single = F.assert_true(F.col("__n") <= 1, "a join without keys needs one row at most").isNull()
+        return left.join(F.broadcast(row.filter(single & (F.col("__n") == 1)).select("__row.*")), F.lit(True), how)
     renamed = right.withColumnsRenamed({key: f"__r_{key}" for key in keys})
     condition = None
     for key in keys:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sward.operators import crossing, describe, joins, panel, ranking, report, rules
-from sward.scale import cumulative_levels, hot_groups
+from sward.scale import cumulative_levels, hot_groups, join_on
 
 
 def rows(df, *columns):
@@ -275,3 +275,11 @@ def test_report_shapes(spark):
     assert report.rename_matching(wide, "Length", "-", ".").columns == ["Sepal.Length", "a-b", "c"]
     stacked = report.stack_tables([df.select("numDF"), df.select("Effect")])
     assert rows(stacked, "numDF", "Effect") == [(1, None), (None, "x")]
+
+
+def test_join_without_keys_fails_on_two_rows(spark):
+    left = spark.range(3)
+    one = spark.createDataFrame([(7,)], "v long")
+    assert [r["v"] for r in join_on(left, one, [], "left").collect()] == [7, 7, 7]
+    with pytest.raises(Exception, match="needs one row at most"):
+        join_on(left, spark.createDataFrame([(1,), (2,)], "v long"), [], "left").collect()
