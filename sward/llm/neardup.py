@@ -188,7 +188,7 @@ def near_duplicates(
     shared = buckets.filter("node <> center").groupBy("node", "center").agg(F.count(F.lit(1)).alias("times"))
     first = shared.groupBy("node").agg(F.max(F.struct("times", "center"))["center"].alias("b")).select(F.col("node").alias("a"), "b")
     known = pin(verified(first, sets, sizes, percent))
-    labels = _label(nodes, known)
+    labels = _roots(sizes, known.filter("linked"))
     # then, as long as it joins components, each component of a bucket with the bucket's center
     held_pairs = known
     for _ in range(2):
@@ -200,27 +200,27 @@ def near_duplicates(
         if got.filter("linked").isEmpty():
             break
         held_pairs = pin(held_pairs.union(got))
-        labels = _label(nodes, held_pairs)
+        labels = _roots(sizes, held_pairs.filter("linked"))
     # last: members of one hub's buckets whose components still differ
     mixed = _named(buckets, labels, "node", "mine").select("center", "node", "mine").distinct()
     several = mixed.groupBy("center").agg(F.min("mine").alias("__lo"), F.max("mine").alias("__hi")).filter("__lo <> __hi").select(F.col("center").alias("__c"))
     rest = pin(mixed.join(several, F.col("center") == F.col("__c"), "left_semi"))
     more = pin(links_across(rest, sets, percent))
     if not more.isEmpty():
-        labels = _label(nodes, held_pairs.filter("linked").select("a", "b").union(more).withColumn("linked", F.lit(True)))
+        labels = _roots(sizes, held_pairs.filter("linked").select("a", "b").union(more))
+    # nodes that share no bucket are their own root
+    rooted = nodes.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("root", "__r")
+    labels = rooted.join(names, F.col("root") == F.col("__r")).select("node", "component_id")
     final = base.join(labels.select(F.col("node").alias("__n"), "component_id"), (F.col("node") == F.col("__n")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return final.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _label(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, root, component_id) of every node: the root of its links and the least document id there."""
-    links = components(pairs.filter("linked").select("a", "b"))
-    rooted = nodes.select("node", "doc_id").join(links.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").select(
-        "node", "doc_id", F.coalesce("root", "node").alias("root")
-    )
-    names = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return pin(rooted.join(names.withColumnRenamed("root", "__r"), F.col("root") == F.col("__r")).select("node", "root", "component_id"))
+def _roots(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every member: the root of its links, or itself."""
+    found = components(links.select("a", "b")).withColumnRenamed("node", "__n")
+    return pin(members.select("node").join(found, F.col("node") == F.col("__n"), "left").select("node", F.coalesce("root", "node").alias("root")))
 
 
 def _named(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:
