@@ -48,8 +48,9 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     """
     if not keys:
         row = right.agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct("*")).alias("__row"))
-        single = F.assert_true(F.col("__n") <= 1, "a join without keys needs one row at most").isNull()
-        return left.join(F.broadcast(row.filter(single & (F.col("__n") == 1)).select("__row.*")), F.lit(True), how)
+        broken = F.raise_error(F.lit("a join without keys needs one row at most")).cast("long")
+        single = F.when(F.col("__n") <= 1, F.col("__n")).otherwise(broken) == 1
+        return left.join(F.broadcast(row.filter(single).select("__row.*")), F.lit(True), how)
     renamed = right.withColumnsRenamed({key: f"__r_{key}" for key in keys})
     condition = None
     for key in keys:
