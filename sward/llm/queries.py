@@ -14,6 +14,7 @@ from sward.llm.decontaminate import find_leaks
 from sward.llm.extraction import main_text
 from sward.llm.mixing import mix_sources
 from sward.llm.neardup import near_duplicates
+from sward.llm.pseudo import score_likelihood
 from sward.llm.sharding import shard_documents
 from sward.llm.substrings import remove_repeats
 from sward.llm.toxicity import score_toxicity
@@ -75,3 +76,8 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("starts", "stops", "kept")
+
+
+@query("op6_pseudo_likelihood")
+def pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_likelihood(table(spark, sf_dir, "documents"))
