@@ -99,8 +99,10 @@ def append_copies(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
     """Append copies of selected rows with some columns overwritten.
 
     A rule has ``select`` (column to value; a value ending in * is a prefix) and
-    ``set`` (column to new value).
+    ``set`` (column to new value). Later rules see the copies of earlier ones. A rule
+    turns each row into one or two, so the input is read once however many rules there are.
     """
+    columns = df.columns
     for rule in rules:
         condition = F.lit(True)
         for name, value in rule["select"].items():
@@ -108,10 +110,11 @@ def append_copies(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
                 condition = condition & F.col(name).startswith(value[:-1])
             else:
                 condition = condition & (F.col(name) == value)
-        copies = df.filter(condition).withColumns(
-            {n: F.lit(v).cast(df.schema[n].dataType) for n, v in rule["set"].items()}
-        )
-        df = df.unionByName(copies)
+        new = {n: F.lit(v).cast(df.schema[n].dataType) for n, v in rule["set"].items()}
+        row = F.struct(*[F.col(f"`{c}`") for c in columns])
+        copy = F.struct(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in columns])
+        rows = F.when(condition, F.array(row, copy)).otherwise(F.array(row))
+        df = df.select(F.explode(rows).alias("__row")).select("__row.*")
     return df
 
 

@@ -16,11 +16,13 @@ def read_survey(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -
     """Read a table with a fixed schema; NA is missing, the text NULL stays text.
 
     CSV columns are matched by header name, so a file may carry more columns than
-    the schema and in another order.
+    the schema and in another order. All files of a folder need the same header for the
+    columns used; reading fails on a file that has another one.
     """
     if fmt != "csv":
         return spark.read.schema(schema).format(fmt).load(path)
-    header = spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    reader = spark.read.option("header", True).option("nullValue", "NA")
+    header = reader.option("enforceSchema", False).csv(path)
     return _named_columns(spark, header, schema, path)
 
 

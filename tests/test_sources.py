@@ -19,6 +19,17 @@ def test_missing_token_and_literal_null_text(spark, tmp_path):
         read_survey(spark, str(path), "site_code string")
 
 
+def test_folder_with_two_headers_fails(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("site,Taxon\ns1,A\n")
+    (tmp_path / "2.csv").write_text("site,Taxon\ns2,B\n")
+    schema = "Taxon string, site string"
+    assert sorted(tuple(r) for r in read_survey(spark, str(tmp_path), schema).collect()) == [("A", "s1"), ("B", "s2")]
+    assert sorted(r[0] for r in read_survey(spark, str(tmp_path), "Taxon string").collect()) == ["A", "B"]
+    (tmp_path / "3.csv").write_text("Taxon,site\nC,s3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_survey(spark, str(tmp_path), schema).collect()
+
+
 def test_latest_file_by_name(spark, tmp_path):
     for name in ("plots-2022-10-10.csv", "plots-2023-06-28.csv", "other-2024-01-01.csv"):
         (tmp_path / name).write_text("a\n1\n")
