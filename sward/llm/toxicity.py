@@ -22,12 +22,12 @@ from sward.llm.common import Text, prefix_hashes, prepare, span_hashes, text_sli
 from sward.llm.labelled import fold, tokens, training_sample
 
 BITS = 20
-# A word found in fewer labelled texts than this is scored by its first STEM_BYTES bytes.
+# A word found in fewer labelled texts than this is scored by its first STEM_BYTES bytes; such a stem is not scored above 0.
 ENOUGH = 8
 STEM_BYTES = 6
 # Most labelled texts that the token scores and the calibration are learned from.
 SAMPLE_ROWS = 8000
-# Weight of the prior in tokens; least support (log-odds over its deviation) of a positive score.
+# Weight of the prior in tokens; least support (signed root of the likelihood ratio) of a positive score.
 PRIOR_TOKENS = 500.0
 SUPPORT = 3.0
 # Expected number of chance segments up to which a segment counts as significant.
@@ -54,10 +54,20 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
         prior = PRIOR_TOKENS * both[seen] / both.sum()
         a, b, p = toxic[seen] + prior, clean[seen] + prior, PRIOR_TOKENS
         delta = np.log(a / (toxic.sum() + p - a)) - np.log(b / (clean.sum() + p - b))
-        scores[seen] = np.where(delta > SUPPORT * np.sqrt(1 / a + 1 / b), delta, np.nan)
+        # tested on the pooled count, so that a token found in no clean text is not without support
+        enough = both[seen] >= ENOUGH
+        scores[seen] = np.where(enough & (delta > 0) & (support(toxic[seen], clean[seen], toxic.sum() / both.sum()) > SUPPORT), delta, np.nan)
     return scores
 
 
+def support(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Root of the likelihood ratio of each token's counts against the toxic share of all counted tokens."""
+    both = toxic + clean
+    part = np.where(toxic > 0, toxic * np.log(np.maximum(toxic, 1e-9) / (both * share)), 0.0)
+    rest = np.where(clean > 0, clean * np.log(np.maximum(clean, 1e-9) / (both * (1 - share))), 0.0)
+    return np.sqrt(2 * np.maximum(part + rest, 0.0))
+
+
 def drift(scores: np.ndarray, clean: np.ndarray) -> float:
     """What every other token costs: more than clean texts gain on average, so that long ones gain nothing."""
     return float(1.5 * np.nansum(scores * clean) / max(clean.sum(), 1.0) + 0.01)

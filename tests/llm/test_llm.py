@@ -20,7 +20,7 @@ from sward.llm.mixing import mix_sources
 from sward.llm.neardup import near_duplicates
 from sward.llm.sharding import schedule, shard_documents
 from sward.llm.suffixes import LENGTH, Contexts, anchors
-from sward.llm.toxicity import score_toxicity, segments
+from sward.llm.toxicity import log_odds, score_toxicity, segments
 
 rng = random.Random(7)
 WORDS = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
@@ -155,6 +155,15 @@ def test_scores_are_sound_and_learned(spark, docs, labels):
         assert sum(r["predicted"] == label(r["doc_id"]) for r in held) >= 0.95 * len(held)
 
 
+def test_words_of_toxic_texts_alone_keep_their_log_odds():
+    # 400,000 rare tokens, 80 and 8 toxic texts with no clean one, 8 and 3 of each side, common to both
+    rest = np.random.default_rng(2).integers(0, 2, 400_000)
+    toxic = np.concatenate((rest == 0, [80, 8, 8, 3, 300])).astype(float)
+    clean = np.concatenate((5 * rest, [0, 0, 70, 24, 2400])).astype(float)
+    scores = log_odds(toxic, clean)[-5:]
+    assert scores[0] > scores[1] > 0 and np.isnan(scores[2:]).all()
+
+
 def test_maximal_segments():
     draw = np.random.default_rng(3)
     for _ in range(50):
