@@ -1,7 +1,7 @@
 """HTML extraction: boosted trees over element features, decoded down the page tree.
 
-The trees learn from a bounded sample of pages whose own markup names the article and what
-stands around it, and from the same pages rewritten with other markup, so that they weigh
+The trees learn from a bounded sample of pages, marked by their own markup where it names the article and what
+stands around it and by tokens and text density elsewhere, and from the same pages rewritten with other markup, so that they weigh
 density, links, tokens, depth and siblings besides tag names. Decoding keeps a subtree, drops
 it or looks into it, whichever the elements' scores favour together: an element is never kept under
 one that was dropped, nor dropped under one that was kept whole.
@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sward.llm.common import prepare
-from sward.llm.dom import MAIN_TAGS, SIDE_TAGS, Page
+from sward.llm.dom import BODY_TAGS, HEADING, MAIN_TAGS, MAIN_TOKENS, SIDE_TAGS, SIDE_TOKENS, Node, Page
 
 # Most pages that the trees are grown on.
 SAMPLE_PAGES = 300
 ROUNDS, DEPTH, BINS, RATE, LEAF_PENALTY = 40, 4, 32, 0.25, 1.0
 # Score of looking into an element instead of keeping or dropping it whole.
 MIXED = -0.3
+# Elements that are blocks of the text around them, and what an element counts of the text that one inside it holds.
+BLOCKS, NEAR = BODY_TAGS | HEADING | frozenset("li ul ol dl dt dd table thead tbody tfoot tr td th".split()), 0.7
 # Other markup for the same parts, and parts that few pages have: (opening, closing).
 MAIN_FORMS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="post-content">', "</div>"), ('<div id="story">', "</div>"), ("<div>", "</div>"))
 SIDE_FORMS = (
@@ -35,14 +37,12 @@ SIDE_FORMS = (
 )
 
 
-def contents(html: str) -> tuple[Page, np.ndarray]:
-    """The page and, per node, 1 inside the named article, 0 outside it, -1 above it."""
-    page = Page(html)
-    page.measure()
+def marked(page: Page, main, side) -> np.ndarray:
+    """Per node: 1 inside a ``main`` element but not in a ``side`` one, 0 outside, -1 above the main text."""
     mark = np.full(len(page.nodes), -1)
     for i, node in enumerate(page.nodes):
         above = mark[node.parent.order] if node.parent else -1
-        mark[i] = 0 if above == 0 or node.tag in SIDE_TAGS else 1 if above == 1 or node.tag in MAIN_TAGS else -1
+        mark[i] = 0 if above == 0 or side(node) else 1 if above == 1 or main(node) else -1
     inside = np.array([node.chars * (m == 1) for node, m in zip(page.nodes, mark)])
     own = {node.order: 0 for node in page.nodes}
     for node in reversed(page.nodes):
@@ -53,6 +53,55 @@ def contents(html: str) -> tuple[Page, np.ndarray]:
     for i, node in enumerate(page.nodes):
         if mark[i] == -1 and own[node.order] == 0:
             mark[i] = 0
+    return mark
+
+
+def beside(node: Node) -> bool:
+    """Whether the element's tag or its class and id tokens name a side part."""
+    return node.tag in SIDE_TAGS or "hidden" in node.marks or sum(m in SIDE_TOKENS for m in node.marks) > sum(m in MAIN_TOKENS for m in node.marks)
+
+
+def densest(page: Page) -> Node | None:
+    """The element that holds most unlinked text near it outside side parts; None if there is no such text."""
+    out: list[bool] = []
+    for node in page.nodes:
+        out.append(beside(node) or (node.parent is not None and out[node.parent.order]))
+    weight = np.zeros(len(page.nodes))
+    for node, text, linked in page.pieces:
+        if not linked and not out[node.order]:
+            weight[node.order] += len("".join(text.split()))
+    held = np.zeros(len(page.nodes))
+    for node in reversed(page.nodes):
+        i, up = node.order, node.parent
+        if up is None:
+            held[i] += weight[i]
+        elif node.tag in BLOCKS:
+            held[up.order] += weight[i] + held[i]
+            held[i] = 0
+        else:
+            held[i] += weight[i]
+            held[up.order] += NEAR * held[i]
+    favour = np.array([1.25 if any(m in MAIN_TOKENS for m in node.marks) else 1.0 for node in page.nodes])
+    best = int((held * favour).argmax())
+    return page.nodes[best] if held[best] else None
+
+
+def contents(html: str) -> tuple[Page, np.ndarray]:
+    """The page and, per node, 1 inside the article, 0 outside it, -1 above it.
+
+    A page whose markup names no article with text is marked by tokens and text density; one without
+    text outside side parts is marked -1 throughout, and teaches nothing.
+    """
+    page = Page(html)
+    page.measure()
+    mark = marked(page, lambda node: node.tag in MAIN_TAGS, lambda node: node.tag in SIDE_TAGS)
+    if not any(m == 1 and node.chars for m, node in zip(mark, page.nodes)):
+        top = densest(page)
+        if top is None:
+            return page, np.full(len(page.nodes), -1)
+        mark = marked(page, lambda node: node is top, beside)
+        if len(mark) > 1:
+            mark[0] = -1
     return page, mark
 
 
@@ -120,7 +169,8 @@ class Forest:
     def grow(cls, x: np.ndarray, y: np.ndarray) -> "Forest":
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(x.shape[1])]
         b = cls.binned(x, edges)
-        rate = min(max(y.mean() if len(y) else 0.5, 1e-3), 1 - 1e-3)
+        # without labels all text is taken for content
+        rate = min(max(y.mean() if len(y) else 1.0, 1e-3), 1 - 1e-3)
         base = float(np.log(rate / (1 - rate)))
         score = np.full(len(x), base)
         inner, leaves = 2**DEPTH - 1, 2**DEPTH

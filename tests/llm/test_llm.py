@@ -199,6 +199,21 @@ def test_page_text(spark):
         assert "link" not in text and "more" not in text and "var" not in text and "©" not in text
 
 
+def test_page_text_without_article_tags(spark):
+    def page(i, opening, closing="</div>"):
+        links = "".join(f"<li><a href='/'>link{i}{k}</a></li>" for k in range(5))
+        return f"<html><body><nav><ul>{links}</ul></nav>{opening}<h1>Head {i}</h1><p>First {prose(40)}.</p><p>Second part {prose(60)}.</p>{closing}<div class='sidebar'><p>more stuff</p></div><footer>&copy; {i}</footer></body></html>"
+
+    forms = [("<div class='post-content'>",), ("<div>",), ("<article>", "</article>")]
+    for rows in ([page(i, *forms[0]) for i in range(40)], [page(i, *forms[1]) for i in range(40)], [page(i, *forms[2 * (i == 0)]) for i in range(40)]):
+        frame = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+        for r in main_text(frame).collect():
+            assert r["text"].startswith(f"Head {r['page_id']} First ") and "Second part" in r["text"]
+            assert "link" not in r["text"] and "more" not in r["text"] and "©" not in r["text"]
+    bare = spark.createDataFrame([(1, "u", "plain words"), (2, "u", "<nav>only links</nav>")], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in main_text(bare).collect()}[1] == "plain words"
+
+
 def test_page_tree_closes_what_is_open():
     page = Page("<ul><li>a<li>b</ul><p>c<div>d</div>")
     assert [n.tag for n in page.nodes] == ["html", "ul", "li", "li", "p", "div"] and page.nodes[3].parent.tag == "ul"
