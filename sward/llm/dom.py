@@ -10,15 +10,21 @@ import numpy as np
 
 # Fixed values of the page format.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset(
+MATH = frozenset(
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd maction semantics".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span "
     "strike strong sub sup time tt u var".split()
 )
-# Elements whose text no reader sees, or that are controls of a form.
+# Elements whose text no reader sees, or that are controls of a form; forms themselves are scored.
 UNSEEN = frozenset(
-    "head title script style template noscript iframe object svg math canvas audio video select option button "
-    "textarea datalist form fieldset dialog".split()
+    "head title script style template noscript iframe object svg annotation annotation-xml canvas audio video select "
+    "option button textarea datalist dialog".split()
 )
+# What may stand in a head; any other element, and text, ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title script style noscript template".split())
 # A start tag of the first set closes an open element of the second, up to the third.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -63,6 +69,7 @@ class Page(HTMLParser):
         self.nodes, self.pieces = [self.root], []
         self.open: list[tuple[str, Node | None]] = []  # inline elements have no node
         self.at, self.unseen, self.links = self.root, 0, 0
+        self.begun = False  # whether the body has
         self.feed(html)
         self.close()
 
@@ -85,7 +92,20 @@ class Page(HTMLParser):
                     self._pop()
                 return
 
+    def _leave_head(self) -> None:
+        """Close an open head that nothing else is open in."""
+        if self.open and self.open[-1][0] == "head":
+            self._pop()
+            self.begun = True
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD:
+            self._leave_head()
+        if tag == "body" and not self.begun:
+            self._close_to({"head"}, ())
+            self.begun = True
+        if tag == "head" and (self.begun or self.open):
+            return
         if tag in VOID:
             if tag in ("br", "hr"):
                 self.pieces.append((self.at, " ", False))
@@ -114,7 +134,7 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "math"):
+        if tag not in VOID and (tag == "svg" or tag in MATH):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
@@ -128,13 +148,19 @@ class Page(HTMLParser):
                     self.pieces.append((self.at, " ", False))
                 return
             # an inline end tag does not close blocks around it
-            if tag in INLINE and self.open[i][1] is not None:
+            if tag in INLINE and tag != "math" and self.open[i][1] is not None:
                 return
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         if not self.unseen:
             self.pieces.append((self.at, data, self.links > 0))
 
+    def side(self, node: Node) -> bool:
+        """Whether the tag names a side part; a form that holds most text of a measured page frames it."""
+        return node.tag in SIDE_TAGS and not (node.tag == "form" and 2 * node.chars > self.root.chars)
+
     def measure(self) -> np.ndarray:
         """Feature rows, one per node in page order."""
         for node, text, linked in self.pieces:
@@ -161,17 +187,17 @@ class Page(HTMLParser):
         for i, node in enumerate(self.nodes):
             up = node.parent
             good = (node.tag in MAIN_TAGS) + sum(m in MAIN_TOKENS for m in node.marks)
-            bad = (node.tag in SIDE_TAGS) + sum(m in SIDE_TOKENS or m == "hidden" for m in node.marks)
+            bad = self.side(node) + sum(m in SIDE_TOKENS or m == "hidden" for m in node.marks)
             over = above[up.order] if up else (0, 0)
             above[node.order] = (over[0] or good > bad, (over[1] or bad > 0))
             peers = up.children if up else [node]
             at = _place(node, peers)
             rows[i] = (
-                node.tag in MAIN_TAGS, node.tag in SIDE_TAGS, node.tag in HEADING, node.tag in BODY_TAGS, node.tag in ("ul", "ol", "li", "dl"),
+                node.tag in MAIN_TAGS, self.side(node), node.tag in HEADING, node.tag in BODY_TAGS, node.tag in ("ul", "ol", "li", "dl"),
                 len(node.children) > 0, node.depth, sum(m in MAIN_TOKENS for m in node.marks), bad, len(node.marks),
                 math.log1p(node.chars), math.log1p(node.words), node.linked / max(1, node.chars), len(node.children),
                 node.chars / node.tags, at / max(1, len(peers) - 1), len(peers), node.chars / total, node.words / max(1, node.blocks),
-                node.stops / max(1, node.words), (up.tag in MAIN_TAGS) if up else 0, (up.tag in SIDE_TAGS) if up else 0, over[0], over[1],
+                node.stops / max(1, node.words), (up.tag in MAIN_TAGS) if up else 0, self.side(up) if up else 0, over[0], over[1],
                 math.log1p(peers[at + 1].chars) if at + 1 < len(peers) else 0, math.log1p(peers[at - 1].chars) if at else 0, node.first / total,
             )
         return rows

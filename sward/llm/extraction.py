@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sward.llm.common import prepare
-from sward.llm.dom import BODY_TAGS, HEADING, MAIN_TAGS, MAIN_TOKENS, SIDE_TAGS, SIDE_TOKENS, Node, Page
+from sward.llm.dom import BODY_TAGS, HEADING, MAIN_TAGS, MAIN_TOKENS, SIDE_TOKENS, Node, Page
 
 # Most pages that the trees are grown on.
 SAMPLE_PAGES = 300
@@ -33,7 +33,7 @@ MAIN_FORMS = (("<article>", "</article>"), ("<main>", "</main>"), ('<div class="
 SIDE_FORMS = (
     ("<nav>", "</nav>"), ("<aside>", "</aside>"), ('<div class="sidebar">', "</div>"), ('<div id="menu">', "</div>"),
     ('<div class="cookie-notice">', "</div>"), ('<section class="comments">', "</section>"), ("<footer>", "</footer>"),
-    ("<header>", "</header>"), ('<div class="related-posts">', "</div>"), ("<div>", "</div>"),
+    ("<header>", "</header>"), ('<div class="related-posts">', "</div>"), ("<form>", "</form>"), ("<div>", "</div>"),
 )
 
 
@@ -56,16 +56,16 @@ def marked(page: Page, main, side) -> np.ndarray:
     return mark
 
 
-def beside(node: Node) -> bool:
+def beside(page: Page, node: Node) -> bool:
     """Whether the element's tag or its class and id tokens name a side part."""
-    return node.tag in SIDE_TAGS or "hidden" in node.marks or sum(m in SIDE_TOKENS for m in node.marks) > sum(m in MAIN_TOKENS for m in node.marks)
+    return page.side(node) or "hidden" in node.marks or sum(m in SIDE_TOKENS for m in node.marks) > sum(m in MAIN_TOKENS for m in node.marks)
 
 
 def densest(page: Page) -> Node | None:
     """The element that holds most unlinked text near it outside side parts; None if there is no such text."""
     out: list[bool] = []
     for node in page.nodes:
-        out.append(beside(node) or (node.parent is not None and out[node.parent.order]))
+        out.append(beside(page, node) or (node.parent is not None and out[node.parent.order]))
     weight = np.zeros(len(page.nodes))
     for node, text, linked in page.pieces:
         if not linked and not out[node.order]:
@@ -94,12 +94,12 @@ def contents(html: str) -> tuple[Page, np.ndarray]:
     """
     page = Page(html)
     page.measure()
-    mark = marked(page, lambda node: node.tag in MAIN_TAGS, lambda node: node.tag in SIDE_TAGS)
+    mark = marked(page, lambda node: node.tag in MAIN_TAGS, page.side)
     if not any(m == 1 and node.chars for m, node in zip(mark, page.nodes)):
         top = densest(page)
         if top is None:
             return page, np.full(len(page.nodes), -1)
-        mark = marked(page, lambda node: node is top, beside)
+        mark = marked(page, lambda node: node is top, lambda node: beside(page, node))
         if len(mark) > 1:
             mark[0] = -1
     return page, mark

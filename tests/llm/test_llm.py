@@ -214,6 +214,21 @@ def test_page_text_without_article_tags(spark):
     assert {r["page_id"]: r["text"] for r in main_text(bare).collect()}[1] == "plain words"
 
 
+def test_page_text_with_open_head_form_and_math(spark):
+    def page(i, head, body, math=""):
+        return f"<html><head><title>t</title>{head}{body}<nav><a href='/'>link{i}</a></nav><article><h1>Head {i}</h1><p>First {prose(40)} {math}</p><p>Second {prose(60)}.</p></article><footer>&copy;</footer></body></html>"
+
+    rows = [page(i, "</head>", "<body>") for i in range(40)]
+    rows += [page(40, "", "<body>"), page(41, "", ""), page(42, "<noscript><img src='x'></noscript>", "<body>")]
+    rows += [page(43, "</head>", "<body><form method='post'><fieldset>").replace("</body>", "</fieldset></form></body>")]
+    rows += [page(44, "</head>", "<body>", "<math><msup><mi>x</mi><mn>2</mn></msup><mspace/><annotation>TeX</annotation></math> holds")]
+    frame = spark.createDataFrame([(i, "u", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in main_text(frame).collect()}
+    for i in range(len(rows)):
+        assert got[i].startswith(f"Head {i} First ") and " Second " in got[i] and "link" not in got[i] and "©" not in got[i]
+    assert " x2" in got[44] and "TeX" not in got[44] and " holds Second" in got[44]
+
+
 def test_page_tree_closes_what_is_open():
     page = Page("<ul><li>a<li>b</ul><p>c<div>d</div>")
     assert [n.tag for n in page.nodes] == ["html", "ul", "li", "li", "p", "div"] and page.nodes[3].parent.tag == "ul"
