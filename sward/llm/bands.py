@@ -1,7 +1,8 @@
 """Quality rules: compression bands over whole texts and fixed chunks, beside word rules.
 
 A text whose zstandard ratio is high repeats itself; one whose ratio is low carries no
-language. Short texts compress badly whatever they hold, so every limit depends on length.
+language. Short texts compress badly whatever they hold, so every limit depends on length. Lower limits
+are set just under the ratios that most texts of a length have in the corpus at hand.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sward.llm.common import Text, mix, prefix_hashes, prepare, span_hashes, text_slices
+from sward.session import pin
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -23,8 +25,8 @@ REPEAT_WINDOW = 3
 LEVEL = 3
 CHUNK_BYTES = 4096
 # A text fails if more than this share of its chunks lies outside the chunk limits.
-MAX_BAD_CHUNKS = 0.5
-# (bytes up to, least ratio, largest ratio) of bytes to compressed bytes.
+MAX_BAD_CHUNKS = 0.1
+# Outer limits: (bytes up to, least ratio, largest ratio) of bytes to compressed bytes.
 BANDS = (
     (512, 0.90, 3.5),
     (2048, 1.15, 4.5),
@@ -33,13 +35,22 @@ BANDS = (
     (float("inf"), 1.45, 9.0),
 )
 
+# A lower limit stands below the median ratio by REACH times the way to the first quartile, and by at least
+# LEAST_GAP of the median. Lengths are taken by half octaves; one with fewer texts uses a shorter one's limit.
+REACH, LEAST_GAP, LEAST_TEXTS = 5.0, 0.12, 50
+# Width of a step of the ratios' histogram.
+STEP = 0.01
+
 _SYMBOLS = np.zeros(256, np.int64)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = 1
 
-SCHEMA = [
+MEASURED = [
     ("n_words", T.LongType()), ("word_chars", T.LongType()), ("n_symbols", T.LongType()),
     ("n_dup_lines", T.LongType()), ("n_repeat_words", T.LongType()), ("base_failed", T.BooleanType()),
-    ("kept", T.BooleanType()), ("ratio", T.DoubleType()), ("bad_chunks", T.LongType()), ("chunks", T.LongType()),
+    ("ratio", T.DoubleType()), ("size", T.LongType()), ("parted", T.ArrayType(T.DoubleType())),
+]
+SCHEMA = [
+    *MEASURED[:6], ("kept", T.BooleanType()), ("ratio", T.DoubleType()), ("bad_chunks", T.LongType()), ("chunks", T.LongType()),
 ]
 
 
@@ -53,6 +64,26 @@ def limits(size: int) -> tuple[float, float]:
     return next((low, high) for upto, low, high in BANDS if size <= upto)
 
 
+def half_octave(size: np.ndarray) -> np.ndarray:
+    return np.floor(2 * np.log2(np.maximum(size, 1))).astype(np.int64)
+
+
+def lower_limits(histogram: list[tuple[int, int, int]]) -> np.ndarray:
+    """Lower limit of each half octave of lengths, from (half octave, step of the ratio, texts); 0 where none is known."""
+    out = np.zeros(128)
+    held: dict[int, list[tuple[int, int]]] = {}
+    for octave, at, n in histogram:
+        held.setdefault(octave, []).append((at, n))
+    for octave, pairs in held.items():
+        at, n = np.array(sorted(pairs)).T
+        upto = np.cumsum(n)
+        if upto[-1] >= LEAST_TEXTS:
+            quarter, middle = ((at[np.searchsorted(upto, q * upto[-1])] + 0.5) * STEP for q in (0.25, 0.5))
+            out[octave] = middle - max(REACH * (middle - quarter), LEAST_GAP * middle)
+    # prose of more bytes compresses better, so the limit of a shorter length holds too
+    return np.maximum.accumulate(out)
+
+
 def repeat_words(start: np.ndarray, stop: np.ndarray, row: np.ndarray, rows: int, prefix: np.ndarray, window: int) -> np.ndarray:
     """Words of each row that stand in a window of words found twice or more in the row."""
     whole = span_hashes(prefix, start, stop)
@@ -100,7 +131,7 @@ def measure(text: Text, packer: zstandard.ZstdCompressor) -> dict[str, list]:
     chars = per_row((in_word & ((data & 0xC0) != 0x80)).astype(np.int64), offsets)
     symbols = per_row(_SYMBOLS[data], offsets)
     repeats = repeat_words(start, stop, row, text.rows, prefix_hashes(data), REPEAT_WINDOW)
-    lines, ratios, bad, chunks = [], [], [], []
+    lines, ratios, parted = [], [], []
     for i in range(text.rows):
         raw = text.raw(i)
         lines.append(repeated_lines(raw) if b"\n" in raw else 0)
@@ -108,37 +139,81 @@ def measure(text: Text, packer: zstandard.ZstdCompressor) -> dict[str, list]:
         parts = [raw[a : a + CHUNK_BYTES] for a in range(0, len(raw), CHUNK_BYTES)]
         if len(parts) > 1 and len(parts[-1]) < CHUNK_BYTES // 2:
             parts[-2:] = [parts[-2] + parts[-1]]
-        outside = 0
-        for part in parts if len(parts) > 1 else []:
-            low, high = limits(len(part))
-            outside += not low <= len(part) / len(packer.compress(part)) <= high
-        bad.append(outside)
-        chunks.append(len(parts))
+        parted.append([len(part) / len(packer.compress(part)) for part in parts] if len(parts) > 1 else [])
     failed = (n_words < MIN_WORDS) | (100 * repeats > MAX_REPEAT_PERCENT * n_words)
-    size = np.diff(offsets)
-    within = [low <= ratio <= high for (low, high), ratio in zip(map(limits, size), ratios)]
-    kept = ~failed & np.array(within, bool) & (np.array(bad) <= MAX_BAD_CHUNKS * np.maximum(1, chunks))
-    return dict(zip((name for name, _ in SCHEMA), (n_words, chars, symbols, lines, repeats, failed, kept, ratios, bad, chunks)))
+    return dict(zip((name for name, _ in MEASURED), (n_words, chars, symbols, lines, repeats, failed, ratios, np.diff(offsets), parted)))
+
+
+def judge(failed: np.ndarray, size: np.ndarray, ratio: np.ndarray, parted: list[np.ndarray], lower: np.ndarray):
+    """(kept, bad chunks, chunks) of each text under the lower limits of the corpus and the outer ones."""
+
+    def outside(size, ratio):
+        low, high = np.array([limits(s) for s in size], np.float64).reshape(-1, 2).T
+        # the limit of a half octave holds at its middle; between two middles it rises with the logarithm of the length
+        known = np.flatnonzero(lower)
+        own = np.interp(2 * np.log2(np.maximum(size, 1)) - 0.5, known, lower[known]) if len(known) else np.zeros(len(size))
+        own = np.where(lower[half_octave(size)] > 0, own, 0.0)
+        return (ratio < np.maximum(low, own)) | (ratio > high)
+
+    many = np.array([len(p) for p in parted], np.int64)
+    row = np.repeat(np.arange(len(size)), many)
+    last = np.cumsum(many) - 1
+    width = np.full(len(row), CHUNK_BYTES, np.int64)
+    width[last[many > 0]] = (size - CHUNK_BYTES * (many - 1))[many > 0]
+    bad = np.bincount(row[outside(width, np.concatenate([np.zeros(0), *parted]))], minlength=len(size))
+    chunks = np.where(many > 0, many, np.minimum(size, 1))
+    return ~failed & ~outside(size, ratio) & (bad <= MAX_BAD_CHUNKS * np.maximum(1, chunks)), bad, chunks
 
 
 def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: word measures, ``base_failed``, compression ratios and ``kept``.
 
     A null text is empty: no words, ratio 1, base rule failed, not kept. Equal rows give equal
-    results; an empty table an empty one. Only id and text are read.
+    results; an empty table an empty one. Only id and text are read. Lower limits come from all texts
+    of the table that meet the word rules and the outer limits.
     """
     prepare(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    key = T.StructField("doc_id", source.schema["doc_id"].dataType)
+    kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_(), T.ArrayType(T.DoubleType()): pa.list_(pa.float64())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL)
-        kinds = {T.LongType(): pa.int64(), T.DoubleType(): pa.float64(), T.BooleanType(): pa.bool_()}
         for batch in batches:
             for low, high, text in text_slices(batch):
                 got = measure(text, packer)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(low, high - low), *(pa.array(got[name], kinds[kind]) for name, kind in SCHEMA)],
+                    [batch.column("doc_id").slice(low, high - low), *(pa.array(got[name], kinds[kind]) for name, kind in MEASURED)],
                     names=["doc_id", *got],
                 )
 
-    return source.mapInArrow(run, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *(T.StructField(n, k) for n, k in SCHEMA)]))
+    measured = pin(source.mapInArrow(run, T.StructType([key, *(T.StructField(n, k) for n, k in MEASURED)])))
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, ratio = batch.column("size").to_numpy(), batch.column("ratio").to_numpy()
+            # a text's chunks count once, by their median, however long it is
+            middle = [float(np.median(p)) for p in batch.column("parted").to_pylist() if p]
+            size, ratio = np.append(size, np.full(len(middle), CHUNK_BYTES)), np.append(ratio, middle)
+            low, high = np.array([limits(s) for s in size], np.float64).reshape(-1, 2).T
+            use = (ratio >= low) & (ratio <= high)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(half_octave(size[use])), pa.array((ratio[use] / STEP).astype(np.int64))], names=["octave", "at"]
+            )
+
+    counted = measured.filter("not base_failed").select("size", "ratio", "parted").mapInArrow(steps, "octave long, at long")
+    # as many rows as there are steps between the outer limits, for each doubling of the length twice
+    lower = lower_limits([tuple(r) for r in counted.groupBy("octave", "at").count().collect()])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parted = [np.array(p, np.float64) for p in batch.column("parted").to_pylist()]
+            failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
+            judged = judge(failed, batch.column("size").to_numpy(), batch.column("ratio").to_numpy(), parted, lower)
+            new = dict(zip(("kept", "bad_chunks", "chunks"), judged))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(new[n], kinds[k]) if n in new else batch.column(n) for n, k in SCHEMA)],
+                names=["doc_id", *(n for n, _ in SCHEMA)],
+            )
+
+    return measured.mapInArrow(decide, T.StructType([key, *(T.StructField(n, k) for n, k in SCHEMA)]))

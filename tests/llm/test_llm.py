@@ -142,6 +142,28 @@ def test_word_rules(docs):
         assert not (failed and r["kept"])
 
 
+def test_incompressible_text_is_dropped_at_every_length(spark):
+    draw = random.Random(5)
+    # words of syllables, drawn unevenly: compresses like prose
+    some = ["".join(draw.choice(["ba", "ter", "en", "lo", "sti", "ung", "ra", "mi"]) for _ in range(draw.randint(1, 4))) for _ in range(3000)]
+
+    def text(n):
+        return " ".join(some[int(3000 * draw.random() ** 3)] for _ in range(n // 4))[:n]
+
+    def letters(n, alphabet, least, most):
+        return " ".join("".join(draw.choice(alphabet) for _ in range(draw.randint(least, most))) for _ in range(n // least))[:n]
+
+    sizes = (1500, 2000, 4000, 8000, 16000, 40000, 100000)
+    good = [text(n + 3 * k) for n in sizes[:6] for k in range(60)] + [text(100000)]
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    junk = [letters(n, a, *w) for n in sizes for a, w in ((base64, (8, 8)), ("abcdefghijklmnopqrstuvwxyz", (3, 9)))]
+    junk += [text(4096) + letters(4096, base64, 8, 8), text(4096) + ("ab cd " * 700)[:4096], text(20000) + letters(20000, base64, 8, 8)]
+    frame = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"] for r in compression_bands(frame).collect()}
+    assert not [len(junk[i]) for i in range(len(junk)) if kept[len(good) + i]]
+    assert sum(kept[i] for i in range(len(good))) >= 0.99 * len(good)
+
+
 def test_scores_are_sound_and_learned(spark, docs, labels):
     for run, label in ((score_quality, "quality"), (score_toxicity, "toxic")):
         for given in (labels, labels.limit(0)):
