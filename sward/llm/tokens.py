@@ -14,6 +14,7 @@ different segment are kept in a bounded table that the tasks of a worker share.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,12 +34,19 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 1_000_000
+KEPT_SEGMENTS = 600_000
 KEPT_IDS = 16_000_000
 # Characters of a text cut into segments at a time, and characters encoded before a batch goes out.
 CUT_CHARS = 1 << 20
 BATCH_CHARS = 4 << 20
 
+# Runs that every version of the tokenizer's split keeps together and parts from each other: Latin letters,
+# digits, ASCII marks, one line end. The split treats an apostrophe and several line ends in ways of its own.
+_PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+|\n")
+# The fixed byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for code points from 256.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Segments(dict):
     """Code of each segment that follows a space; its ids are ``ids[start[code]:start[code + 1]]``.
@@ -60,7 +68,7 @@ class Segments(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.pieces: dict[str, list[int]] = {}
+        self.bare: dict[str, array] = {}
         self.ids, self.start = array("i", [self.end_id]), array("q", [0, 1])
 
     def full(self) -> bool:
@@ -75,15 +83,30 @@ class Segments(dict):
         if not segment or segment[0].isspace() or segment[-1].isspace():
             self[segment] = -1
             return -1
-        ids: list[int] = []
-        for piece, _ in self.split(" " + segment):
-            known = self.pieces.get(piece)
-            if known is None:
-                known = self.pieces[piece] = [token.id for token in self.model.tokenize(piece)]
-            ids += known
+        pieces = _PIECES.findall(segment)
+        if len(pieces) == 1 and pieces[0] == segment:
+            ids = self.encoded(" ", segment)
+        elif sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
+            ids = [token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece)]
+        else:
+            code = self[pieces[0]]
+            ids = self.ids[self.start[code] : self.start[code + 1]]
+            for piece in pieces[1:]:
+                known = self.bare.get(piece)
+                if known is None:
+                    known = self.bare[piece] = array("i", self.encoded("", piece))
+                ids += known
         code = self[segment] = self.add(ids)
         return code
 
+    def encoded(self, lead: str, piece: str) -> list[int]:
+        """Ids of a piece that the tokenizer does not split."""
+        if piece.isascii() and piece != "\n":
+            letters = "Ġ" + piece if lead else piece
+        else:
+            letters = (lead + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [token.id for token in self.model.tokenize(letters)]
+
     def whole(self, text: str) -> int:
         """A code for the ids of ``text`` as the tokenizer gives them, kept for this batch alone."""
         return self.add(self.tokenizer.encode(text, add_special_tokens=False).ids)
