@@ -34,7 +34,7 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 900_000
 KEPT_IDS = 16_000_000
 # Characters of a text cut into segments at a time, and characters encoded before a batch goes out.
 CUT_CHARS = 1 << 20
@@ -45,7 +45,20 @@ BATCH_CHARS = 4 << 20
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+|\n")
 # The fixed byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for code points from 256.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_LETTERS = {byte: 256 + i for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+_BYTES = {byte: chr(byte) for byte in _PRINTED} | {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+class _Letters(dict):
+    """A character's bytes in that alphabet."""
+
+    def __missing__(self, char: str) -> str:
+        letters = "".join(_BYTES[byte] for byte in char.encode())
+        if len(self) < 10_000:
+            self[char] = letters
+        return letters
+
+
+_LETTERS = _Letters()
 
 
 class Segments(dict):
@@ -85,7 +98,7 @@ class Segments(dict):
             return -1
         pieces = _PIECES.findall(segment)
         if len(pieces) == 1 and pieces[0] == segment:
-            ids = self.encoded(" ", segment)
+            ids = self.encoded(_LETTERS[" "], segment)
         elif sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
             ids = [token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece)]
         else:
@@ -101,10 +114,7 @@ class Segments(dict):
 
     def encoded(self, lead: str, piece: str) -> list[int]:
         """Ids of a piece that the tokenizer does not split."""
-        if piece.isascii() and piece != "\n":
-            letters = "Ġ" + piece if lead else piece
-        else:
-            letters = (lead + piece).encode().decode("latin-1").translate(_BYTE_LETTERS)
+        letters = lead + piece if piece.isascii() and piece != "\n" else lead + "".join(map(_LETTERS.__getitem__, piece))
         return [token.id for token in self.model.tokenize(letters)]
 
     def whole(self, text: str) -> int:
@@ -142,15 +152,16 @@ class Segments(dict):
 _segments: dict[tuple[str, int], Segments] = {}
 
 
-def _encode(texts: list[str | None], segments: Segments) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _encode(texts: pa.Array, segments: Segments) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(rows, ids of these rows, ids of each row) for runs of texts of about ``BATCH_CHARS``."""
     end = np.zeros(1, np.int64)
     first = 0
     while first < len(texts):
         parts, rows, size, last = [], [], 0, first
         while last < len(texts) and size < BATCH_CHARS:
-            held = [*segments.codes(texts[last] or ""), end]
-            size += len(texts[last] or "")
+            text = texts[last].as_py() or ""
+            held = [*segments.codes(text), end]
+            size += len(text)
             parts += held
             rows.append(sum(map(len, held)))
             last += 1
@@ -169,9 +180,8 @@ def _encoder(tokenizer_path: str, end_id: int):
         segments = _segments[key] = _segments.get(key) or Segments(*key)
         part, place = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             first = 0
-            for rows, ids, n in _encode(texts, segments):
+            for rows, ids, n in _encode(batch.column("text"), segments):
                 stops = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(ids.astype(np.int32))

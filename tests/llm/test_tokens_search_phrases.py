@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -55,7 +56,7 @@ def test_segments_give_the_ids_of_whole_texts(monkeypatch):
     texts = [*TEXTS, *["".join(rng.choice(odd) for _ in range(rng.randint(0, 120))) for _ in range(1500)], "long " * 3000, "x" * 5000]
     segments = tokens.Segments(PATH, 2)
     got, sizes = [], []
-    for rows, ids, n in tokens._encode(texts, segments):
+    for rows, ids, n in tokens._encode(pa.array(texts, pa.string()), segments):
         assert rows == len(n) and n.sum() == len(ids)
         got += ids.tolist()
         sizes += n.tolist()
