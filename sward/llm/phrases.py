@@ -35,7 +35,7 @@ CUT_BYTES = 1 << 20
 # Cells of a row and of an Arrow batch, bytes of text for each part of a stripe, groups ranked first.
 ROW_CELLS = 1024
 BATCH_CELLS = 250_000
-PART_BYTES = 256 << 20
+PART_BYTES = 512 << 20
 SALTS = 32
 
 # A piece's end; no word contains it, since it parts pieces.
@@ -45,7 +45,8 @@ _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)
 )
 
-_STRIPES = "lang string, a string, part int, b array<string>, c array<string>, n array<int>"
+# Words hold no space, so those of a row's cells travel as one string.
+_STRIPES = "lang string, a string, part int, b string, c string, n array<int>"
 _COUNTS = "lang string, a string, b string, c string, n long"
 
 
@@ -120,8 +121,8 @@ class _Slice:
                     pa.array([self.lang] * len(rows), pa.string()),
                     strings.take(pa.array(held[rows] >> 2 * _BITS)),
                     pa.array((mine[rows] % self.parts).astype(np.int32)),
-                    pa.ListArray.from_arrays(offsets, strings.take(pa.array((held >> _BITS) & low))),
-                    pa.ListArray.from_arrays(offsets, strings.take(pa.array(held & low))),
+                    pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(pa.array((held >> _BITS) & low))), " "),
+                    pc.binary_join(pa.ListArray.from_arrays(offsets, strings.take(pa.array(held & low))), " "),
                     pa.ListArray.from_arrays(offsets, pa.array(n[first : first + BATCH_CELLS].astype(np.int32))),
                 ],
                 ["lang", "a", "part", "b", "c", "n"],
@@ -188,9 +189,10 @@ def _merger(least: int):
                 same = [pc.equal(batch.column(c)[1:], batch.column(c)[:-1]) for c in ("lang", "a", "part")]
                 new[1:] = ~np.logical_and.reduce([s.to_numpy(zero_copy_only=False) for s in same])
             run = np.cumsum(new)  # from 1; run 0 is what the batch before left
-            parents = pc.list_parent_indices(batch.column("b")).to_numpy()
+            parents = pc.list_parent_indices(batch.column("n")).to_numpy()
             cells = pa.table({
-                "run": pa.array(run[parents]), "b": batch.column("b").flatten(), "c": batch.column("c").flatten(),
+                "run": pa.array(run[parents]),
+                "b": pc.split_pattern(batch.column("b"), " ").flatten(), "c": pc.split_pattern(batch.column("c"), " ").flatten(),
                 "n": batch.column("n").flatten().cast(pa.int64()),
             })
             runs = keys.take(pa.array(np.flatnonzero(new)))
