@@ -119,11 +119,10 @@ select l_returnflag, round(quantile_cont(l_extendedprice, 0.05), 6) as low,
   round(quantile_cont(l_extendedprice, 0.95), 6) as high
 from lineitem group by 1""")
 def quantiles_split_groups(spark, sf_dir):
-    # each flag holds a third of all rows; the limit sends all three down the split path
+    # each flag holds a third of all rows
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     return describe.quantiles(
-        rows, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], ["low", "middle", "high"],
-        max_group_rows=1, small_input=0,
+        rows, ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], ["low", "middle", "high"]
     )
 
 

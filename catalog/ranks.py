@@ -55,11 +55,11 @@ select l_returnflag, l_orderkey, l_partkey, l_suppkey, l_extendedprice,
   rank() over (partition by l_returnflag order by l_extendedprice desc) as rank
 from lineitem""")
 def competition_rank_split_groups(spark, sf_dir):
-    # each flag holds a third of all rows; the limit sends all three down the split path
+    # each flag holds a third of all rows, and is split into runs
     rows = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"
     )
-    return with_rank(rows, ["l_returnflag"], "l_extendedprice", max_group_rows=1, small_input=0)
+    return with_rank(rows, ["l_returnflag"], "l_extendedprice", run_rows=5_000)
 
 
 @query("plot_richness", "WN4", sql="""

@@ -9,10 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sward.scale import (
-    MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on,
-)
-from sward.session import pin
+from sward.scale import join_on, order_statistics
 
 
 def row_col_count(df: DataFrame) -> DataFrame:
@@ -56,57 +53,26 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    small_input: int = SMALL_INPUT_BYTES,
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]
 ) -> DataFrame:
     """Exact quantiles by linear interpolation, one row per group.
 
-    Small groups use the built-in aggregate, which keeps a group's distinct values
-    in one buffer. With a group above the limit, the two order statistics next to
-    each quantile are read off running counts instead.
+    A group without any value keeps its row; so does an ungrouped table without rows.
     """
-    by = list(by)
-    if hot_groups(df, by, max_group_rows, small_input) is None:
-        exact = F.percentile(F.col(value), F.array(*[F.lit(float(p)) for p in probs]))
-        row = df.groupBy(*by).agg(exact.alias("__q"))
-        return row.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    df = pin(df.select(*by, value))
-    levels = cumulative_levels(df, by, value)
-    sizes = df.groupBy(*by).agg(F.count(value).alias("__size"))
-    located = join_on(levels, sizes, by, "inner")
-    picks = []
-    for i, p in enumerate(probs):
-        position = (F.col("__size") - 1) * F.lit(float(p))
-        for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            reached = F.when(F.col("upto") > index, F.col(value))
-            picks.append(F.min(reached).alias(f"__{side}{i}"))
-        picks.append(F.max(position - F.floor(position)).alias(f"__w{i}"))
-    found = located.groupBy(*by).agg(*picks)
-    result = [
-        (F.col(f"__lo{i}") + F.col(f"__w{i}") * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))).alias(n)
-        for i, n in enumerate(names)
-    ]
-    # groups without any value keep their row
-    return join_on(sizes.drop("__size"), found.select(*by, *result), by, "left") if by else (
-        found.select(*result)
-    )
+    found = order_statistics(df, by, [value], probs)
+    return found.select(*by, *[F.get(value, F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
-def with_quantile(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    prob: float,
-    out: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+def with_quantiles(
+    df: DataFrame, by: Sequence[str], prob: float, columns: dict[str, str]
 ) -> DataFrame:
-    """One exact quantile of the group on every row."""
-    return join_on(df, quantiles(df, by, value, [prob], [out], max_group_rows), by, "left")
+    """One exact quantile of several columns (column to new name) on every row of the group.
+
+    All columns share one summary, one refinement and one join.
+    """
+    found = order_statistics(df, by, list(columns), [prob])
+    named = [F.get(column, F.lit(0)).alias(out) for column, out in columns.items()]
+    return join_on(df, found.select(*by, *named), by, "left")
 
 
 def five_numbers(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

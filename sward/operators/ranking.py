@@ -1,22 +1,18 @@
 """Relative cover, ranks, richness and leading taxa.
 
-Group totals are aggregated and joined back. Ranks use one window while groups
-are small; groups above the limit are ranked over their distinct values
-(``cumulative_levels``), which no single task has to hold.
+Group totals are aggregated and joined back. Ranks are taken inside runs of a group that
+sampled values bound, and shifted by the rows of earlier runs; no task holds a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.operators.joins import first_per_key, keep_matching
-from sward.scale import (
-    MAX_GROUP_ROWS, SMALL_INPUT_BYTES, cumulative_levels, hot_groups, join_on, join_totals,
-)
-from sward.session import pin
+from sward.scale import RUN_ROWS, descending_rank, join_on, join_totals
 
 
 def with_group_max(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -41,68 +37,26 @@ def with_group_mean(df: DataFrame, by: Sequence[str], value: str, out: str) -> D
 
 
 def with_rank(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    out: str = "rank",
-    max_group_rows: int = MAX_GROUP_ROWS,
-    small_input: int = SMALL_INPUT_BYTES,
+    df: DataFrame, by: Sequence[str], value: str, out: str = "rank", run_rows: int = RUN_ROWS
 ) -> DataFrame:
     """Competition rank, largest first: ties share a rank, the next one is skipped.
 
     A null value has a null rank.
     """
-    return _ranked(df, by, value, out, hot_groups(df, by, max_group_rows, small_input))
-
-
-def _window_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    window = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last())
-    rank = F.when(F.col(value).isNotNull(), F.rank().over(window))
-    return df.withColumn(out, rank.cast("long"))
-
-
-def _ranked(
-    df: DataFrame, by: Sequence[str], value: str, out: str, hot: DataFrame | None
-) -> DataFrame:
-    if hot is None:
-        return _window_rank(df, by, value, out)
-    # pinned, since three branches read it
-    flagged = pin(join_on(df, hot.withColumn("__hot", F.lit(True)), by, "left"))
-    cold = flagged.filter(F.col("__hot").isNull()).drop("__hot")
-    large = flagged.filter(F.col("__hot")).drop("__hot")
-    levels = cumulative_levels(large, by, value, descending=True)
-    ranks = levels.select(*by, value, (F.col("upto") - F.col("n") + 1).alias(out))
-    split = join_on(large, ranks, [*by, value], "left")
-    return _window_rank(cold, by, value, out).unionByName(split)
+    return descending_rank(df, by, value, out, run_rows)
 
 
 def with_rank_percentile(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    small_input: int = SMALL_INPUT_BYTES,
+    df: DataFrame, by: Sequence[str], value: str, run_rows: int = RUN_ROWS
 ) -> DataFrame:
     """Share of total, its rank, richness and rank percentile within the group.
 
     Adds ``rel_cover``, ``rank``, ``rich`` and ``perc_rank``; the percentile is 1
     for the top row and 1/rich for the last.
     """
-    hot = hot_groups(df, by, max_group_rows, small_input)
-    if hot is None:
-        group = Window.partitionBy(*by)
-        sized = df.withColumns(
-            {
-                "rel_cover": F.try_divide(F.col(value), F.sum(value).over(group)),
-                "rich": F.count(F.lit(1)).over(group),
-            }
-        )
-    else:
-        totals = join_totals(df, by, __total=F.sum(value), rich=F.count(F.lit(1)))
-        sized = totals.withColumn(
-            "rel_cover", F.try_divide(F.col(value), F.col("__total"))
-        ).drop("__total")
-    ranked = _ranked(sized, by, "rel_cover", "rank", hot)
+    totals = join_totals(df, by, __total=F.sum(value), rich=F.count(F.lit(1)))
+    sized = totals.withColumn("rel_cover", F.try_divide(F.col(value), F.col("__total"))).drop("__total")
+    ranked = descending_rank(sized, by, "rel_cover", "rank", run_rows)
     return ranked.withColumn("perc_rank", rank_percentile(F.col("rank"), F.col("rich")))
 
 

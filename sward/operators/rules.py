@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.functions.predicates import ifelse, not_in
-from sward.operators.describe import with_quantile
-from sward.scale import MAX_GROUP_ROWS, join_on, small_frame
+from sward.operators.describe import with_quantiles
+from sward.scale import join_on, small_frame
 
 _TESTS = {
     "==": lambda column, value: column == value,
@@ -142,18 +142,15 @@ def sentinel_audit(
 
 
 def low_high_label(
-    df: DataFrame,
-    labels: dict[str, tuple[str, str, str]],
-    by: Sequence[str] = ("site_code",),
-    max_group_rows: int = MAX_GROUP_ROWS,
+    df: DataFrame, labels: dict[str, tuple[str, str, str]], by: Sequence[str] = ("site_code",)
 ) -> DataFrame:
     """Label each covariate as below its median or not.
 
     ``labels`` maps a covariate to (new column, label below, label otherwise).
-    With ``by`` the median is taken per group, without it over the whole table.
+    With ``by`` the medians are taken per group, without it over the whole table.
     """
+    medians = {covariate: f"__median_{i}" for i, covariate in enumerate(labels)}
+    df = with_quantiles(df, by, 0.5, medians)
     for covariate, (out, low, high) in labels.items():
-        df = with_quantile(df, by, covariate, 0.5, "__median", max_group_rows)
-        df = df.withColumn(out, ifelse(F.col(covariate) < F.col("__median"), low, high))
-        df = df.drop("__median")
-    return df
+        df = df.withColumn(out, ifelse(F.col(covariate) < F.col(medians[covariate]), low, high))
+    return df.drop(*medians.values())

@@ -1,9 +1,10 @@
-"""Size checks, group totals and order statistics that survive hot groups.
+"""Group totals, ranks and order statistics that survive groups of any size.
 
-A window over a group needs the whole group in one task. That is the cheapest
-plan while groups are small, and no plan at all when one group holds a third of
-the rows. The operators therefore check first (``hot_groups``) and split the
-oversized groups exactly (``cumulative_levels``); totals never use a window.
+A window over a group needs the whole group in one task. Totals are therefore aggregated
+and joined back; ranks are taken inside runs of a group that sampled splitters bound
+(``with_runs``) and shifted by the counts of the runs before; quantiles are bracketed by a
+mergeable summary and read off the bracketed values alone (``order_statistics``). The same plan
+serves every size: a group without splitters is one run, a short one its own bracket.
 """
 
 from __future__ import annotations
@@ -15,25 +16,17 @@ from pyspark.sql import functions as F
 
 from sward.session import pin
 
-# A group of at most this many rows may be sorted by one task.
-MAX_GROUP_ROWS = 5_000_000
-# Below this input size no group can be a burden to one task.
-SMALL_INPUT_BYTES = 256 * 1024**2
+# Rows between two splitters of a group, on average.
+RUN_ROWS = 1_000_000
+# Rows with one splitter's value are dealt over this many tasks.
+TIE_TASKS = 64
+# One over the summary's relative rank error. A bracket reaches MARGIN errors to either side;
+# groups with no more than MARGIN * ACCURACY rows are bracketed whole.
+ACCURACY, MARGIN = 10_000, 4
 # A Python rule list up to this length is broadcast.
 MAX_BROADCAST_ROWS = 10_000
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Summed size of the tables ``df`` reads, or None where it cannot be told."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    leaves = plan.queryExecution().optimizedPlan().collectLeaves()
-    return sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
-
-
 def small_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A rule list as a DataFrame; broadcast only when its length is within bounds."""
     frame = spark.createDataFrame(list(rows), schema)
@@ -70,60 +63,142 @@ def join_totals(df: DataFrame, by: Sequence[str], **aggregates: Column) -> DataF
     return join_on(df, totals, by, "left")
 
 
-def hot_groups(
-    df: DataFrame,
-    by: Sequence[str],
-    max_group_rows: int = MAX_GROUP_ROWS,
-    small_input: int = SMALL_INPUT_BYTES,
-) -> DataFrame | None:
-    """Keys of the groups above ``max_group_rows`` rows, None when there are none.
+def _splitters_above(splitters: Column, value: Column) -> Column:
+    """How many of the descending ``splitters`` are greater than ``value``, by halving."""
+    size = F.coalesce(F.size(splitters), F.lit(0))
+    steps = F.ceil(F.log2(size.cast("double") + 1.0)).cast("int")
+    start = F.struct(F.lit(0).alias("low"), size.alias("high"))
 
-    A small input is not scanned. The list has at most rows / max_group_rows
-    entries.
-    """
-    size = input_bytes(df)
-    if size is not None and size < small_input:
-        return None
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    over = counts.filter(F.col("__n") > max_group_rows)
-    hot = pin(over.drop("__n") if by else over)
-    return None if hot.isEmpty() else hot
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.floor((span["low"] + span["high"]) / 2).cast("int")
+        open_span = span["low"] < span["high"]
+        above = F.get(splitters, middle) > value
+        return F.struct(
+            F.when(open_span & above, middle + 1).otherwise(span["low"]).alias("low"),
+            F.when(open_span & ~above, middle).otherwise(span["high"]).alias("high"),
+        )
+
+    found = F.aggregate(F.array_repeat(F.lit(0), steps), start, halve)["low"]
+    return F.when(size == 0, F.lit(0)).otherwise(found)
 
 
-def cumulative_levels(
-    df: DataFrame, by: Sequence[str], value: str, descending: bool = False
+def with_runs(df: DataFrame, by: Sequence[str], value: str, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Add ``__run`` and ``__salt``: rows of a group with larger values are in the same or an earlier run.
+
+    About one row in ``run_rows`` is drawn, and its value splits its group. A run holds the values
+    between two splitters, or those equal to one splitter; the latter, and rows without a value, are
+    dealt over ``__salt``, as their order does not matter. ``df`` must be a stored table.
+    """
+    drawn = df.filter(F.col(value).isNotNull()).filter(F.rand(1) < 1.0 / run_rows)
+    splitters = pin(
+        drawn.groupBy(*by).agg(F.sort_array(F.collect_set(value), asc=False).alias("__splitters"))
+    )
+    placed = join_on(df, splitters, by, "left")
+    above = _splitters_above(F.col("__splitters"), F.col(value))
+    placed = placed.withColumn("__above", above)
+    tied = F.coalesce(F.get("__splitters", F.col("__above")) == F.col(value), F.lit(False))
+    run = F.when(F.col(value).isNotNull(), 2 * F.col("__above") + tied.cast("int"))
+    dealt = tied | F.col(value).isNull()
+    salt = F.when(dealt, F.pmod(F.spark_partition_id(), F.lit(TIE_TASKS))).otherwise(F.lit(0))
+    return placed.withColumns({"__run": run, "__salt": salt}).drop("__splitters", "__above")
+
+
+def descending_rank(
+    df: DataFrame, by: Sequence[str], value: str, out: str, run_rows: int = RUN_ROWS
 ) -> DataFrame:
-    """Distinct values of each group with ``n`` (rows) and ``upto`` (rows so far).
+    """Competition rank by ``value``, largest first, as ``out``; null for a null value.
+
+    The rank inside a run is shifted by the rows of the group's earlier runs, so no task holds more
+    than a run. The rows are stored once, since three branches read them.
+    """
+    rows = pin(df)
+    runs = with_runs(rows, by, value, run_rows)
+    earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    counts = runs.filter(F.col("__run").isNotNull()).groupBy(*by, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(*by, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    inside = F.rank().over(Window.partitionBy(*by, "__run", "__salt").orderBy(F.col(value).desc_nulls_last()))
+    ranked = join_on(runs.withColumn("__inside", inside), offsets, [*by, "__run"], "left")
+    rank = F.when(F.col(value).isNotNull(), F.col("__inside") + F.col("__offset"))
+    return ranked.withColumn(out, rank.cast("long")).drop("__run", "__salt", "__inside", "__offset")
+
 
-    Equal values are combined before any shuffle by value, the levels are range
-    partitioned over (group, value), and every run of a group is numbered by its
-    partition. Running counts are taken inside a run and shifted by the counts
-    of the group's earlier runs, so a group of any size is spread over tasks. The
-    run numbers are pinned before two branches read them.
+def order_statistics(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """Exact quantiles (linear interpolation) of several columns, all probabilities at once.
+
+    One row per group: the keys and, for every column, an array over ``probs`` named like the column;
+    null where the group has no value. A mergeable summary of value counts with a known rank error
+    (``percentile_approx``) gives a bracket for every probability. One further pass counts the rows
+    between brackets and, inside them, the rows of each value; running counts then locate both
+    order statistics next to each quantile. No buffer holds a group's values: what a task sorts is
+    one bracket, at most ``2 * MARGIN / accuracy`` of a group's rows, or ``MARGIN * accuracy`` of them.
     """
     by = list(by)
-    levels = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n"))
+    order = sorted(range(len(probs)), key=lambda i: probs[i])
+    sorted_probs = [float(probs[i]) for i in order]
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]
     )
-    order = F.col(value).desc() if descending else F.col(value).asc()
-    runs = pin(
-        levels.repartitionByRange(*by, order).withColumn("__run", F.spark_partition_id())
+    long = pin(df.select(*by, F.explode(cells).alias("__cell")).select(*by, F.col("__cell.column").alias("__column"), F.col("__cell.value").alias("__value")))
+    keys = [*by, "__column"]
+    margin = MARGIN / accuracy
+    reach = [max(0.0, p - margin) for p in sorted_probs] + [min(1.0, p + margin) for p in sorted_probs]
+    k = len(sorted_probs)
+    summary = long.groupBy(*keys).agg(
+        F.count("__value").alias("__size"), F.min("__value").alias("__min"), F.max("__value").alias("__max"),
+        F.percentile_approx("__value", reach, accuracy).alias("__reach"),
     )
-    earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        runs.groupBy(*by, "__run")
-        .agg(F.sum("n").alias("__run_n"))
-        .withColumn("__offset", F.coalesce(F.sum("__run_n").over(earlier), F.lit(0)))
-        .drop("__run_n")
+    short = F.col("__size") <= MARGIN * accuracy
+
+    def bounds(first: int, whole: str) -> Column:
+        near = F.slice("__reach", first + 1, k)
+        return F.when(short, F.array_repeat(F.col(whole), k)).otherwise(near)
+
+    # extremes are exact in the summary's other columns
+    summary = pin(
+        summary.withColumns({"__low": bounds(0, "__min"), "__high": bounds(k, "__max")}).drop("__reach", "__min", "__max")
     )
-    inside = (
-        Window.partitionBy(*by, "__run")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    located = join_on(long.filter(F.col("__value").isNotNull()), summary, keys, "inner")
+    # values beyond j brackets are sorted behind those of the brackets before, so (j, value) is the order of values
+    beyond = F.size(F.filter("__high", lambda high: high < F.col("__value")))
+    located = located.withColumn("__beyond", beyond)
+    bracketed = F.get("__low", F.col("__beyond")) <= F.col("__value")
+    levels = (
+        located.withColumn("__value", F.when(bracketed, F.col("__value")))
+        .groupBy(*keys, "__size", "__beyond", "__value").agg(F.count(F.lit(1)).alias("__n"))
     )
-    running = runs.withColumn("__inside", F.sum("n").over(inside))
-    return join_on(running, offsets, [*by, "__run"], "inner").select(
-        *by, value, "n", (F.col("__inside") + F.col("__offset")).alias("upto")
+    inside = Window.partitionBy(*keys, "__beyond").orderBy(F.col("__value").asc_nulls_first())
+    before = Window.partitionBy(*keys).orderBy("__beyond").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        levels.groupBy(*keys, "__beyond").agg(F.sum("__n").alias("__n"))
+        .select(*keys, "__beyond", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
     )
+    running = levels.withColumn("__upto", F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    running = join_on(running, shifts, [*keys, "__beyond"], "inner").withColumn("__upto", F.col("__upto") + F.col("__shift"))
+    missed = F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    known = F.when(F.col("__value").isNotNull(), F.col("__value")).otherwise(missed)
+    picks = []
+    for i, p in enumerate(sorted_probs):
+        position = (F.col("__size") - 1) * F.lit(p)
+        for side, index in (("lo", F.floor(position)), ("hi", F.ceil(position))):
+            here = (F.col("__upto") > index) & (F.col("__upto") - F.col("__n") <= index)
+            picks.append(F.max(F.when(here, known)).alias(f"__{side}{i}"))
+    found = running.groupBy(*keys, "__size").agg(*picks)
+    values: list[Column] = []
+    for i in range(len(probs)):
+        at = order.index(i)
+        position = (F.col("__size") - 1) * F.lit(sorted_probs[at])
+        low, high = F.col(f"__lo{at}"), F.col(f"__hi{at}")
+        # equal neighbours stay as they are, infinite ones included
+        weight = position - F.floor(position)
+        between = (1.0 - weight) * low + weight * high
+        values.append(F.when(low == high, low).otherwise(between))
+    solved = found.select(*keys, F.array(*values).alias("__quantiles"))
+    complete = join_on(summary.select(*keys), solved, keys, "left")
+    blank = F.array(*[F.lit(None).cast("double")] * k)
+    per_column = [
+        F.coalesce(F.max_by("__quantiles", F.when(F.col("__column") == i, F.lit(1))), blank).alias(c)
+        for i, c in enumerate(columns)
+    ]
+    return complete.groupBy(*by).agg(*per_column)

@@ -1,5 +1,6 @@
 """Joins, ranks, rules, panels and reports on hand-made frames."""
 
+import math
 import random
 from statistics import median
 
@@ -7,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sward.operators import crossing, describe, joins, panel, ranking, report, rules
-from sward.scale import cumulative_levels, hot_groups, join_on
+from sward.scale import join_on, order_statistics, with_runs
+from sward.session import pin
 
 
 def rows(df, *columns):
@@ -64,7 +66,7 @@ def test_rank_ties_gaps_and_null(spark):
         [("p", 5.0), ("p", 5.0), ("p", 3.0), ("p", 3.0), ("p", 1.0), ("p", None)], "plot string, x double")
     expected = [(1.0, 5), (3.0, 3), (3.0, 3), (5.0, 1), (5.0, 1), (None, None)]
     assert rows(ranking.with_rank(df, ["plot"], "x"), "x", "rank") == expected
-    split = ranking.with_rank(df, ["plot"], "x", max_group_rows=1, small_input=0)
+    split = ranking.with_rank(df, ["plot"], "x", run_rows=1)
     assert rows(split, "x", "rank") == expected
 
 
@@ -97,7 +99,7 @@ def test_split_rank_equals_brute_force(spark, limit):
             groups.setdefault(g, []).append(x)
     for g, x in data:
         expected.append((g, x, None if x is None else 1 + sum(y > x for y in groups[g])))
-    got = ranking.with_rank(df, ["g"], "x", max_group_rows=limit, small_input=0)
+    got = ranking.with_rank(df, ["g"], "x", run_rows=limit)
     assert rows(got, "g", "x", "rank") == sorted(expected, key=str)
 
 
@@ -105,7 +107,7 @@ def test_rank_percentile_properties_on_both_paths(spark):
     data, df = skewed(spark, 2)
     df = df.filter("x > 0")
     plain = ranking.with_rank_percentile(df, ["g"], "x").cache()
-    split = ranking.with_rank_percentile(df, ["g"], "x", max_group_rows=50, small_input=0)
+    split = ranking.with_rank_percentile(df, ["g"], "x", run_rows=50)
     columns = ["g", "x", "rank", "rich", "perc_rank"]
     assert rows(plain, *columns) == rows(split, *columns)
     sums = plain.groupBy("g").agg(F.sum("rel_cover").alias("s"), F.max("perc_rank").alias("m"))
@@ -124,32 +126,87 @@ def test_zero_total_gives_null_share(spark):
     assert ranking.with_share(df, ["g"], "x", "s").first()["s"] is None
 
 
-def test_cumulative_levels_and_hot_groups(spark):
-    data, df = skewed(spark, 3)
-    levels = cumulative_levels(df, ["g"], "x").collect()
-    for row in levels:
-        members = [x for g, x in data if g == row["g"] and x is not None]
-        assert row["n"] == members.count(row["x"])
-        assert row["upto"] == sum(x <= row["x"] for x in members)
-    hot = hot_groups(df, ["g"], 1000, small_input=0)
-    assert rows(hot, "g") == [("hot",)]
-    assert hot_groups(df, ["g"], 10_000, small_input=0) is None
+def test_runs_keep_the_order_of_values_and_bound_a_task(spark):
+    df = spark.range(60_000).select(
+        F.lit("hot").alias("g"), F.when(F.col("id") % 3 == 0, 5.0).otherwise(F.col("id") * 7919 % 60_000).cast("double").alias("x"))
+    runs = with_runs(pin(df.union(df.limit(100).withColumn("x", F.lit(None)))), ["g"], "x", run_rows=1_000).cache()
+    spans = runs.filter("x is not null").groupBy("__run").agg(
+        F.min("x").alias("low"), F.max("x").alias("high"), F.count("x").alias("n")).orderBy("__run").collect()
+    assert all(a["low"] > b["high"] for a, b in zip(spans, spans[1:])) and len(spans) > 20
+    # the third of the rows with one value is a run of its own, dealt over tasks: only other runs are sorted
+    assert max(r["n"] for r in spans if r["low"] < r["high"]) < 15_000
+    tied = next(r for r in spans if r["low"] <= 5.0 <= r["high"])
+    assert tied["low"] == tied["high"] and tied["n"] >= 20_000
+    assert runs.filter("x is null and __run is not null").isEmpty()
+
+
+def test_rank_has_one_plan_for_all_sizes(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    plans = [ranking.with_rank(df.limit(n), ["g"], "x")._jdf.queryExecution().analyzed().toString() for n in (10, 1000)]
+    windows = [[line for line in plan.split("\n") if "rank(" in line] for plan in plans]
+    assert all("__run" in line and "__salt" in line for lines in windows for line in lines if "Window" in line)
+    assert len(windows[0]) == len(windows[1])
 
 
 # ---- description ----
 
 
+def plain_quantile(values, p):
+    values = sorted(values)
+    at = (len(values) - 1) * p
+    low, high = values[math.floor(at)], values[math.ceil(at)]
+    return low if low == high else low + (at - math.floor(at)) * (high - low)
+
+
+@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
 @pytest.mark.parametrize("by", [["g"], []])
-def test_quantiles_on_both_paths(spark, by):
+def test_quantiles_equal_brute_force(spark, by, accuracy):
+    # a coarse summary brackets all groups but the shortest, a fine one takes groups whole
     data, df = skewed(spark, 4)
-    probs, names = [0.0, 0.05, 0.5, 0.95, 1.0], ["a", "b", "c", "d", "e"]
-    plain = describe.quantiles(df, by, "x", probs, names)
-    split = describe.quantiles(df, by, "x", probs, names, max_group_rows=1, small_input=0)
-    for left, right in zip(rows(plain, *by, *names), rows(split, *by, *names)):
-        assert left[: len(by)] == right[: len(by)]
-        assert left[len(by):] == pytest.approx(right[len(by):])
-    if not by:
-        assert plain.first()["c"] == median(x for _, x in data if x is not None)
+    probs = [0.95, 0.0, 0.05, 0.5, 0.5, 1.0, 0.33]
+    df = df.withColumn("y", -F.col("x") * F.col("x")).withColumn("none", F.lit(None).cast("int"))
+    got = order_statistics(df.unionByName(df.limit(1).selectExpr("'z' as g", "cast(null as double) as x", "cast(null as double) as y", "none")),
+                           by, ["x", "y", "none"], probs, accuracy)
+    groups = {}
+    for g, x in data:
+        if x is not None:
+            groups.setdefault(g if by else None, []).append(x)
+    found = {r["g"] if by else None: r for r in got.collect()}
+    assert set(found) == set(groups) | ({"z"} if by else set())
+    for g, values in groups.items():
+        assert found[g]["x"] == pytest.approx([plain_quantile(values, p) for p in probs])
+        assert found[g]["y"] == pytest.approx([plain_quantile([-v * v for v in values], p) for p in probs])
+        assert found[g]["none"] == [None] * len(probs)
+    if by:
+        assert found["z"]["x"] == [None] * len(probs)
+
+
+def test_quantiles_of_an_empty_table_and_of_special_values(spark):
+    empty = spark.createDataFrame([], "g string, x double")
+    assert describe.quantiles(empty, [], "x", [0.5], ["m"]).collect() == [(None,)]
+    assert describe.quantiles(empty, ["g"], "x", [0.5], ["m"]).collect() == []
+    inf = float("inf")
+    df = spark.createDataFrame([("a", inf), ("a", inf), ("a", 1.0), (None, -inf), (None, 2.0)], "g string, x double")
+    got = {r["g"]: tuple(r)[1:] for r in describe.quantiles(df, ["g"], "x", [0.0, 0.5, 1.0], ["a", "b", "c"]).collect()}
+    assert got == {"a": (1.0, inf, inf), None: (-inf, -inf, 2.0)}
+
+
+def test_quantiles_of_ten_million_rows_in_one_group(spark):
+    # few bytes at the leaves of the plan, one group, all values different
+    n = 10_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("x"))
+    probs = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+    got = describe.quantiles(df, [], "x", probs, [f"q{i}" for i in range(len(probs))]).first()
+    assert list(got) == pytest.approx([(n - 1) * p for p in probs])
+
+
+def test_medians_of_several_columns_share_one_join(spark):
+    data, df = skewed(spark, 5)
+    got = describe.with_quantiles(df.withColumn("y", 2 * F.col("x")), ["g"], 0.5, {"x": "mx", "y": "my"})
+    assert got.count() == len(data)
+    for g, values in (("hot", [x for g, x in data if g == "hot" and x is not None]),):
+        row = got.filter(F.col("g") == g).first()
+        assert row["mx"] == pytest.approx(median(values)) and row["my"] == pytest.approx(2 * median(values))
 
 
 def test_correlation_guards_constant_columns(spark):
