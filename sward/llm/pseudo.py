@@ -33,6 +33,8 @@ PIECE, REPLICA_TOKENS, ROUNDS = 4096, 4_000_000, 1
 STEP, RATE = 2048, 0.2
 # Tokens scored at a time, embedding rows of one slice of a network, and networks that one task sums.
 SCORED, SLICE_ROWS, FAN_IN = 8192, 2048, 256
+# Scoring takes weights up to LARGEST in units of 2 ** -UNIT_BITS: sums of WINDOW * 2 * WIDTH products stay below 2 ** 53.
+UNIT_BITS, LARGEST = 16, 64.0
 # Positions of the context, seen from the hidden token.
 AROUND = np.array([o for o in range(-WINDOW, WINDOW + 1) if o])
 
@@ -56,6 +58,7 @@ class Network:
 
     def __init__(self, parts: list[np.ndarray]):
         self.parts = parts
+        self.units: list[np.ndarray] | None = None
 
     @staticmethod
     def fresh(prior: np.ndarray) -> Network:
@@ -99,6 +102,28 @@ class Network:
             squares[i] += grad * grad
             self.parts[i] -= RATE * grad / np.sqrt(squares[i])
 
+    def class_chances(self, context: np.ndarray) -> np.ndarray:
+        """Class chances for rows of context tokens, each a function of its row alone.
+
+        Weights and hidden values are taken in units of ``2 ** -UNIT_BITS``, so the products are sums of
+        integers that double precision holds exactly: no order of summation, and no row beside it,
+        changes a row's result.
+        """
+        if self.units is None:
+            embed, first, _, second, _ = (np.clip(p.astype(np.float64), -LARGEST, LARGEST) for p in self.parts)
+            self.units = [np.rint(np.ldexp(p, UNIT_BITS)) for p in (embed, first, second)]
+        embed, first, second = self.units
+        bias, out = (self.parts[i].astype(np.float64) for i in (2, 4))
+        hidden = np.tanh(np.ldexp(embed.take(context, axis=0).reshape(len(context), -1) @ first, -2 * UNIT_BITS) + bias)
+        z = np.ldexp(np.rint(np.ldexp(hidden, UNIT_BITS)) @ second, -2 * UNIT_BITS) + out
+        np.clip(z, -40, 40, out=z)
+        np.exp(z, out=z)
+        total = z[:, 0].copy()
+        for column in range(1, z.shape[1]):
+            total += z[:, column]
+        z /= total[:, None]
+        return z
+
     def slices(self) -> list[np.ndarray]:
         """The weights as flat arrays of bounded size: runs of embedding rows, then all the rest."""
         embed = self.parts[0]
@@ -266,7 +291,7 @@ def log_chances(network: Network, cell: np.ndarray, inside: np.ndarray, sequence
     for low in range(0, len(place), SCORED):
         at = place[low : low + SCORED]
         token = sequence[at]
-        chance = network.forward(sequence[at[:, None] + AROUND])[2]
+        chance = network.class_chances(sequence[at[:, None] + AROUND])
         out[low : low + len(at)] = np.log(np.maximum(chance[np.arange(len(at)), cell[token]], 1e-30)) + inside[token]
     return out
 
