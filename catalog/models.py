@@ -328,6 +328,28 @@ def treatment_contrasts(spark, sf_dir):
     return contrasts(reference_grid(known, model, at, treatments=False), model)
 
 
+_NPK_ROWS = _ROWS.replace("cast(year_trt as double) as x", "cast(NPK as double) as x")
+
+
+@query("contrasts_at_given_variances", "EM2", sql=f"""
+with {_CRITERION.replace(_ROWS, _NPK_ROWS)},
+one as (select *, s2 * a / (a * d - b * b) as v from s where trial = 1)
+select contrast, round(side * b1, 6) as estimate, round(sqrt(v), 6) as SE, round(side * b1 / sqrt(v), 6) as t_ratio
+from one, (values ('Control - NPK', -1), ('Control - NPK+Fence', -1), ('Fence - NPK', -1),
+  ('Fence - NPK+Fence', -1)) c(contrast, side)""")
+def contrasts_at_given_variances(spark, sf_dir):
+    rows = pin(
+        followed(spark, sf_dir).select(
+            *KEYS, F.col("NPK").cast("double").alias("NPK"),
+            logit(clamp_unit(F.col("perc_rank"))).alias("rank_logit"),
+        )
+    )
+    model = model_at(group_sums(rows, "rank_logit", factorial([["NPK"]]), KEYS), _TRIALS[0])
+    found = contrasts(reference_grid(rows, model, {}, treatments=False), model)
+    # the model has no fence term: pairs that differ in the fence alone have no error
+    return found.filter("SE > 0").select("contrast", "estimate", "SE", "t_ratio")
+
+
 @query("reference_grid_means", "EM1", "JN14", sql="""
 select round(a.cover, 6) as initial_rel_cover, n.npk as NPK, n.fence as Fence, y.year_trt
 from (select avg(initial_rel_cover) as cover from (

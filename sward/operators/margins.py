@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sward.functions.distributions import t_quantile, t_two_sided
+from sward.functions.distributions import studentised_range_upper, t_quantile, t_two_sided
 from sward.functions.scalar import TREATMENTS, invlogit, treatment_label
 from sward.operators.describe import quantiles
 from sward.operators.design import Design
@@ -111,12 +111,13 @@ def marginal_means(grid: DataFrame, model: MixedModel, level: float = 0.95) -> D
 def contrasts(grid: DataFrame, model: MixedModel) -> DataFrame:
     """Pairwise differences between treatments at each other grid value.
 
-    The grid is built without treatments; the six pairs are a fixed list. P values
-    are unadjusted.
+    The grid is built without treatments; the six pairs are a fixed list. ``p_value`` is adjusted
+    for the pairs of one grid value by Tukey's method, ``p_single`` is that of one comparison. A pair
+    that the model cannot tell apart has neither.
     """
     plain = _Plain(model)
     pairs = list(combinations(TREATMENTS, 2))
-    names = ["contrast", "estimate", "SE", "df", "t_ratio", "p_value"]
+    names = ["contrast", "estimate", "SE", "df", "t_ratio", "p_value", "p_single"]
 
     def codes(batch: pd.DataFrame, label: str) -> np.ndarray:
         npk, fence = TREATMENTS[label]
@@ -129,11 +130,14 @@ def contrasts(grid: DataFrame, model: MixedModel) -> DataFrame:
                 value = x @ plain.beta
                 error = np.sqrt(np.einsum("ij,jk,ik->i", x, plain.cov, x))
                 used = np.where(np.abs(x) > 0.0, plain.df[None, :], np.inf).min(axis=1)
-                ratio = value / error
-                p = [t_two_sided(t, d) for t, d in zip(ratio, used)]
+                ratio = np.divide(value, error, out=np.full(len(value), np.nan), where=error > 0.0)
+                single = [t_two_sided(t, d) for t, d in zip(ratio, used)]
+                # the range of all means, in units of one mean's error
+                q = [float(x) for x in np.abs(ratio) * np.sqrt(2.0)]
+                adjusted = [studentised_range_upper(t, len(TREATMENTS), float(d)) for t, d in zip(q, used)]
                 out = batch.copy()
                 label = f"{first} - {second}"
-                for name, values in zip(names, [label, value, error, used, ratio, p]):
+                for name, values in zip(names, [label, value, error, used, ratio, adjusted, single]):
                     out[name] = values
                 yield out
 

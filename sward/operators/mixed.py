@@ -7,6 +7,10 @@ set of variance ratios is then evaluated level by level: the inner sums are
 weighted and subtracted, summed into the next level, and so on. Each trial gives
 the generalised least-squares cross-product matrix and the log determinant of the
 covariance exactly; many trials, and all submodels of a design, share one job.
+
+All sums are taken about the columns' means. A design with an intercept gives the same
+fit in these coordinates, and offsets far larger than the spread cost no digits; only the
+coefficients are moved back.
 """
 
 from __future__ import annotations
@@ -35,7 +39,8 @@ class GroupSums:
     response: str
     groups: list[str]
     rows: int
-    gram: np.ndarray
+    shift: np.ndarray
+    centred: np.ndarray
     inner: DataFrame
     cells: DataFrame
     inner_gram: DataFrame
@@ -46,6 +51,48 @@ class GroupSums:
     def width(self) -> int:
         return len(self.design.effects) + 1
 
+    @property
+    def gram(self) -> np.ndarray:
+        """Cross-products of the design and the response as they are."""
+        return self.moved_back(self.centred)
+
+    def moved_back(self, matrix: np.ndarray) -> np.ndarray:
+        """A cross-product matrix about the means, in the columns' own coordinates."""
+        shift = np.eye(self.width)
+        if np.any(self.shift):
+            shift[_intercept(self.design)] += self.shift
+        return shift.T @ matrix @ shift
+
+    def solve(
+        self, matrix: np.ndarray, logdet: float, columns: Sequence[int], method: str
+    ) -> Solution:
+        """``solve`` for a matrix about the means, with coefficients of the columns as they are."""
+        if not np.any(self.shift):
+            return solve(matrix, logdet, columns, self.rows, method)
+        at = _intercept(self.design)
+        if at not in columns:
+            return solve(self.moved_back(matrix), logdet, columns, self.rows, method)
+        found = solve(matrix, logdet, columns, self.rows, method)
+        back = np.eye(len(columns))
+        place = list(columns).index(at)
+        back[place] -= self.shift[list(columns)]
+        beta = back @ found.beta
+        beta[place] += self.shift[-1]
+        return Solution(beta, back @ found.inverse @ back.T, found.sigma2, found.loglik)
+
+    def about_means(self, beta: np.ndarray, columns: Sequence[int]) -> np.ndarray:
+        """Coefficients that fit the response about its mean from the columns about theirs."""
+        out = np.array(beta, dtype=float)
+        if np.any(self.shift):
+            place = list(columns).index(_intercept(self.design))
+            out[place] += float(self.shift[list(columns)] @ out) - self.shift[-1]
+        return out
+
+
+def _intercept(design: Design) -> int | None:
+    """Position of the column of ones."""
+    return next((i for i, effect in enumerate(design.effects) if not effect.term), None)
+
 
 def _z(width: int) -> list[str]:
     return [f"z{i}" for i in range(width)]
@@ -61,11 +108,12 @@ def _matrix_rows(matrix: np.ndarray, **fixed) -> pd.DataFrame:
     return frame
 
 
-def _row_gram(design: Design, response: str) -> Callable:
+def _row_gram(design: Design, response: str, shift: np.ndarray) -> Callable:
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for batch in batches:
             z = np.column_stack([design.matrix(batch), batch[response].to_numpy(dtype=float)])
+            z -= shift
             part = z.T @ z
             total = part if total is None else total + part
         if total is not None:
@@ -75,21 +123,26 @@ def _row_gram(design: Design, response: str) -> Callable:
 
 
 def _size_gram(width: int) -> Callable:
+    """Cross-products of the groups' sums by group size; rows arrive sorted by size."""
     names = _z(width)
 
+    def summed(n: int, total: np.ndarray, count: int) -> pd.DataFrame:
+        frame = _matrix_rows(total, n=np.int64(n))
+        # the group count travels with the first matrix row
+        frame["m"] = [count] + [0] * (width - 1)
+        return frame
+
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        sizes: dict[int, int] = {}
+        size, total, count = None, np.zeros((width, width)), 0
         for batch in batches:
-            for n, part in batch.groupby("n"):
+            for n, part in batch.groupby("n", sort=False):
+                if size is not None and n != size:
+                    yield summed(size, total, count)
+                    total, count = np.zeros((width, width)), 0
                 s = part[names].to_numpy()
-                totals[n] = totals.get(n, 0.0) + s.T @ s
-                sizes[n] = sizes.get(n, 0) + len(part)
-        for n, matrix in totals.items():
-            frame = _matrix_rows(matrix, n=np.int64(n))
-            # the group count travels with the first matrix row
-            frame["m"] = [sizes[n]] + [0] * (width - 1)
-            yield frame
+                size, total, count = n, total + s.T @ s, count + len(part)
+        if size is not None:
+            yield summed(size, total, count)
 
     return products
 
@@ -114,19 +167,26 @@ def group_sums(
     names = _z(width)
     frame = df.select(*groups, *design.variables, response)
     needed = [*groups, *design.variables, response]
-    # one pass tells the row count and whether anything is missing
+    columns = [*design.columns(), F.col(response)]
+    # one pass tells the row count, whether anything is missing, and the columns' means
     check = frame.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{i}") for i, c in enumerate(needed)],
+        *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)],
     ).first()
     missing = [c for i, c in enumerate(needed) if check[f"null_{i}"]]
     if missing:
         raise ValueError(f"missing values in {missing}")
+    shift = np.zeros(width)
+    at = _intercept(design)
+    if at is not None and check["rows"]:
+        shift = np.array([check[f"mean_{i}"] for i in range(width)], dtype=float)
+        shift[at] = 0.0
     partial = frame.select(*design.variables, response).mapInPandas(
-        _row_gram(design, response), f"{_SUM} int, {_doubles(names)}"
+        _row_gram(design, response, shift), f"{_SUM} int, {_doubles(names)}"
     )
-    gram = _collect_matrix(partial.groupBy(_SUM).agg(*_sums(names)), names)
-    z = [c.alias(name) for name, c in zip(names, [*design.columns(), F.col(response)])]
+    centred = _collect_matrix(partial.groupBy(_SUM).agg(*_sums(names)), names)
+    z = [(c - F.lit(float(m))).alias(name) for name, c, m in zip(names, columns, shift)]
     spread = [F.expr(f"min({c}) as lo{i}") for i, c in enumerate(names[:-1])]
     spread += [F.expr(f"max({c}) as hi{i}") for i, c in enumerate(names[:-1])]
     inner = pin(
@@ -143,13 +203,13 @@ def group_sums(
         inner.groupBy(*parents, "n").agg(F.count(F.lit(1)).alias("m"), *_sums(names))
     )
     inner_gram = pin(
-        inner.select("n", *names)
+        inner.select("n", *names).sortWithinPartitions("n")
         .mapInPandas(_size_gram(width), f"n long, {_SUM} int, {_doubles(names)}, m long")
         .groupBy("n", _SUM)
         .agg(*_sums([*names, "m"]))
     )
     return GroupSums(
-        design, response, groups, check["rows"], gram, inner, cells, inner_gram, counts,
+        design, response, groups, check["rows"], shift, centred, inner, cells, inner_gram, counts,
         _column_strata(inner, design, groups),
     )
 
@@ -362,6 +422,10 @@ class Evaluator:
 
     def evaluate(self, ratios: np.ndarray) -> list[tuple[np.ndarray, float]]:
         """(cross-product matrix under the trial covariance, its log determinant)."""
+        return [(self.sums.moved_back(m), logdet) for m, logdet in self.evaluate_centred(ratios)]
+
+    def evaluate_centred(self, ratios: np.ndarray) -> list[tuple[np.ndarray, float]]:
+        """As ``evaluate``, for the columns about their means."""
         sums, width = self.sums, self.sums.width
         rows = None
         if self.cells is not None:
@@ -383,7 +447,7 @@ class Evaluator:
         for trial in range(len(ratios)):
             part = collected[collected["trial"] == trial].sort_values(_SUM)
             removed = part[self.names].to_numpy()
-            matrix = sums.gram - (removed + removed.T) / 2.0
+            matrix = sums.centred - (removed + removed.T) / 2.0
             results.append((matrix, float(part["w"].sum())))
         return results
 
@@ -548,20 +612,20 @@ def fit_designs(
             blocks = [s.trials() for s in active]
             points, back = np.unique(np.abs(np.vstack(blocks)), axis=0, return_inverse=True)
             back = np.asarray(back).ravel()
-            found = evaluator.evaluate(np.square(points))
+            found = evaluator.evaluate_centred(np.square(points))
             at = 0
             for search, block in zip(active, blocks):
                 where = back[at : at + len(block)]
                 at += len(block)
                 values = np.array(
-                    [-2.0 * solve(*found[i], search.columns, sums.rows, method).loglik
+                    [-2.0 * sums.solve(*found[i], search.columns, method).loglik
                      for i in where]
                 )
                 search.update(block, values, tolerance)
         if not all(s.done for s in searches):
             raise RuntimeError(f"the variance search did not converge in {max_rounds} rounds")
         final = np.square(np.array([s.center for s in searches]))
-        found = evaluator.evaluate(final)
+        found = evaluator.evaluate_centred(final)
     finally:
         evaluator.close()
     return [
@@ -579,7 +643,7 @@ def _model(
     method: str,
 ) -> MixedModel:
     columns = [sums.design.names.index(name) for name in design.names]
-    solution = solve(matrix, logdet, columns, sums.rows, method)
+    solution = sums.solve(matrix, logdet, columns, method)
     return MixedModel(
         design, sums.groups, method, sums.rows, solution.beta,
         solution.inverse * solution.sigma2, solution.sigma2, ratios, solution.loglik,
@@ -592,7 +656,7 @@ def model_at(sums: GroupSums, ratios: Sequence[float], method: str = "REML") ->
     evaluator = Evaluator(sums)
     trial = np.array([ratios], dtype=float)
     try:
-        matrix, logdet = evaluator.evaluate(trial)[0]
+        matrix, logdet = evaluator.evaluate_centred(trial)[0]
     finally:
         evaluator.close()
     return _model(sums, sums.design, trial[0], matrix, logdet, method)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sward.functions.distributions import f_upper, t_two_sided
 from sward.operators.design import INTERCEPT, Design
-from sward.operators.mixed import GroupSums, MixedModel, fit_designs, term_df
+from sward.operators.mixed import GroupSums, MixedModel, _intercept, fit_designs, term_df
 from sward.scale import join_on
 
 
@@ -101,9 +101,11 @@ def random_effects(model: MixedModel) -> dict[str, DataFrame]:
     groups, ratios = model.groups, [float(r) for r in model.ratios]
     position = {name: i for i, name in enumerate(model.sums.design.names)}
     columns = [position[name] for name in model.design.names]
+    # the group sums are about the columns' means
+    centred = model.sums.about_means(model.beta, columns)
     residual = reduce(
         lambda a, b: a - b,
-        [F.lit(float(b)) * F.col(f"z{i}") for b, i in zip(model.beta, columns)],
+        [F.lit(float(b)) * F.col(f"z{i}") for b, i in zip(centred, columns)],
         F.col(f"z{model.sums.width - 1}"),
     )
     level = model.sums.inner.select(*groups, F.col("n").cast("double").alias("w"), residual.alias("t"))
@@ -147,16 +149,25 @@ def with_fitted(df: DataFrame, model: MixedModel) -> DataFrame:
 
 
 def with_leverage(df: DataFrame, sums: GroupSums, design: Design | None = None) -> DataFrame:
-    """Add the diagonal of the least-squares hat matrix as ``leverage``."""
+    """Add the diagonal of the least-squares hat matrix as ``leverage``.
+
+    Columns that depend on others change nothing: a pivoted Cholesky factorisation of the
+    scaled cross-products picks the columns that span the design.
+    """
     design = design or sums.design
-    index = [sums.design.names.index(name) for name in design.names]
-    inverse = _inverse(sums.gram[np.ix_(index, index)])
+    index = np.array([sums.design.names.index(name) for name in design.names])
+    at = _intercept(sums.design)
+    moved = at in index
+    gram = (sums.centred if moved else sums.gram)[np.ix_(index, index)]
+    shift = sums.shift[index] if moved else np.zeros(len(index))
+    kept = independent_columns(gram)
+    inverse = _inverse(gram[np.ix_(kept, kept)])
     columns = df.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            x = design.matrix(batch)
+            x = (design.matrix(batch) - shift)[:, kept]
             out = batch[columns].copy()
             out["leverage"] = np.einsum("ij,jk,ik->i", x, inverse, x, optimize=True)
             yield out
@@ -164,6 +175,27 @@ def with_leverage(df: DataFrame, sums: GroupSums, design: Design | None = None)
     return df.mapInPandas(score, f"{schema}, leverage double")
 
 
+def independent_columns(gram: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
+    """Positions of columns that span all, from their cross-products, in ascending order.
+
+    Pivoted Cholesky: each step takes the column with most left over, as a share of its own
+    square sum, and removes it from the others; what is below ``tolerance`` depends on those taken.
+    """
+    scale = np.sqrt(np.diag(gram))
+    scale = np.where(scale > 0.0, scale, 1.0)
+    rest = gram / np.outer(scale, scale)
+    taken: list[int] = []
+    while len(taken) < len(gram):
+        left = np.diag(rest).copy()
+        left[taken] = 0.0
+        best = int(left.argmax())
+        if left[best] <= tolerance:
+            break
+        rest = rest - np.outer(rest[:, best], rest[best]) / rest[best, best]
+        taken.append(best)
+    return np.array(sorted(taken), dtype=int)
+
+
 def _inverse(matrix: np.ndarray) -> np.ndarray:
     scale = np.sqrt(np.diag(matrix))
     return np.linalg.inv(matrix / np.outer(scale, scale)) / np.outer(scale, scale)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sward.functions.distributions import t_quantile, t_two_sided
+from sward.functions.distributions import studentised_range_upper, t_quantile, t_two_sided
 from sward.operators import margins, mixed, mixed_outputs
 from sward.operators.design import factorial
 
@@ -284,3 +284,78 @@ def test_design_order_and_names():
     names = factorial([["a", "b", "c"], ["f", "a"]], {"f": ["x", "y", "z"]}).names
     assert names == ["(Intercept)", "a", "b", "c", "fy", "fz", "a:b", "a:c", "b:c", "a:fy", "a:fz",
                      "a:b:c"]
+
+
+def test_offsets_far_above_the_spread_cost_no_digits(spark):
+    # four groups of 1e5 rows, response and covariate about 1e6; the dense answer in extended precision
+    n = 400_000
+    ids = F.col("id")
+    df = spark.range(n).select(
+        (ids % 2).alias("site"), (ids % 4).alias("plot"),
+        (ids * 7919 % 1000 / 1000.0 + 1e6).alias("x"),
+        (2.0 * (ids * 7919 % 1000 / 1000.0) + ids % 4 * 0.3 + (ids * 104729 % 10007 / 10007.0) + 1e6).alias("y"),
+    )
+    i = np.arange(n)
+    x = i * 7919 % 1000 / 1000.0 + 1e6
+    y = 2.0 * (i * 7919 % 1000 / 1000.0) + i % 4 * 0.3 + (i * 104729 % 10007 / 10007.0) + 1e6
+    x, y = x.astype(np.longdouble) - 1_000_000, y.astype(np.longdouble) - 1_000_000
+    z = np.column_stack([np.ones(n, np.longdouble), x, y])
+    ratios = (0.5, 0.25)
+    total, logdet = z.T @ z, np.longdouble(0)
+    tops = {0: [np.zeros(3, np.longdouble), 0], 1: [np.zeros(3, np.longdouble), 0]}
+    for plot in range(4):
+        s, m = z[i % 4 == plot].sum(0), np.longdouble(n // 4)
+        scale = 1 / (1 + ratios[1] * m)
+        total, logdet = total - ratios[1] * scale * np.outer(s, s), logdet - np.log(scale)
+        tops[plot % 2][0] = tops[plot % 2][0] + s * scale
+        tops[plot % 2][1] += m * scale
+    for t, w in tops.values():
+        scale = 1 / (1 + ratios[0] * w)
+        total, logdet = total - ratios[0] * scale * np.outer(t, t), logdet - np.log(scale)
+    a, b, c = total[:2, :2], total[:2, 2], total[2, 2]
+    det = a[0, 0] * a[1, 1] - a[0, 1] ** 2
+    slope = (a[0, 0] * b[1] - a[0, 1] * b[0]) / det
+    start = (a[1, 1] * b[0] - a[0, 1] * b[1]) / det
+    sigma2 = (c - start * b[0] - slope * b[1]) / (n - 2)
+    sums = mixed.group_sums(df, "y", factorial([["x"]]), ["site", "plot"])
+    model = mixed.model_at(sums, ratios)
+    assert model.beta[1] == pytest.approx(float(slope), rel=1e-9)
+    assert model.beta[0] == pytest.approx(float(start - slope * 1_000_000 + 1_000_000), rel=1e-9)
+    assert model.sigma2 == pytest.approx(float(sigma2), rel=1e-9)
+    assert model.cov[1, 1] == pytest.approx(float(sigma2 * a[0, 0] / det), rel=1e-9)
+    twice = (n - 2) * (np.log(2 * np.longdouble(math.pi) * sigma2) + 1) + logdet + np.log(det)
+    assert model.loglik == pytest.approx(float(-twice / 2), rel=1e-11)
+    effects = mixed_outputs.random_effects(model)["plot"].collect()
+    assert max(abs(r["effect"]) for r in effects) < 1.0
+
+
+def test_leverage_of_a_doubled_column_is_that_of_the_plain_design(spark):
+    frame = make_rows(8)
+    frame["twice"] = 2.0 * frame["rain"] + 5.0
+    df = spark.createDataFrame(frame)
+    plain, doubled = factorial([["year"], ["rain"]]), factorial([["twice"], ["year"], ["rain"]])
+    want = mixed_outputs.with_leverage(df, mixed.group_sums(df, "y", plain, GROUPS)).toPandas()["leverage"]
+    got = mixed_outputs.with_leverage(df, mixed.group_sums(df, "y", doubled, GROUPS)).toPandas()["leverage"]
+    np.testing.assert_allclose(got, want, rtol=1e-8)
+    assert got.sum() == pytest.approx(3.0)
+
+
+def test_studentised_range_against_tables():
+    # published upper 5 % and 1 % points
+    for p, means, df, q in ((0.05, 3, 10, 3.877), (0.05, 4, 20, 3.958), (0.05, 10, 5, 6.995), (0.01, 4, 20, 5.018),
+                            (0.05, 3, 2, 8.331), (0.05, 4, math.inf, 3.633), (0.01, 5, 60, 4.818)):
+        assert studentised_range_upper(q, means, df) == pytest.approx(p, rel=2e-3)
+    # the range of two means is a t value
+    for t, df in ((0.5, 3), (2.0, 7), (3.1, 40), (5.0, 1)):
+        assert studentised_range_upper(t * math.sqrt(2), 2, df) == pytest.approx(t_two_sided(t, df), rel=1e-6)
+    assert studentised_range_upper(0.0, 4, 9) == 1.0 and math.isnan(studentised_range_upper(math.nan, 4, 9))
+
+
+def test_contrasts_carry_adjusted_p_values(fitted):
+    _, df, _, model = fitted
+    base = margins.reference_grid(df, model, {"year": [0.0, 3.0]}, treatments=False)
+    for _, row in margins.contrasts(base, model).toPandas().iterrows():
+        t = abs(row["t_ratio"])
+        assert row["p_single"] == pytest.approx(t_two_sided(t, row["df"]))
+        assert row["p_value"] == pytest.approx(studentised_range_upper(t * math.sqrt(2), 4, row["df"]))
+        assert row["p_single"] <= row["p_value"] <= min(1.0, 6.0 * row["p_single"]) + 1e-9
