@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sward.llm.common import prepare, text_slices
 
@@ -28,8 +29,8 @@ AUTOMATON_BYTES = 8 << 20
 _LONGS = T.ArrayType(T.LongType())
 FOUND = (
     ("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()),
-    ("contaminated", T.BooleanType()), ("starts", _LONGS), ("stops", _LONGS), ("items", _LONGS),
-)
+    ("contaminated", T.BooleanType()), ("starts", _LONGS), ("stops", _LONGS),
+)  # and items, a list of the benchmark's own id type
 
 _TABLE = bytearray(range(256))
 for _b in range(128):
@@ -45,22 +46,24 @@ def normalised(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
 
 
-def automaton(items: list[tuple[int, str]], window: int = WINDOW):
+def automaton(items: list[tuple[object, str]], window: int = WINDOW):
     """Every window of every item, each with its length in words and the items that have it."""
-    holders: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+    holders: dict[tuple[bytes, ...], set] = defaultdict(set)
     for item, text in items:
         words = normalised((text or "").encode())
         for i in range(max(1, len(words) - window + 1) if words else 0):
             holders[tuple(words[i : i + window])].add(item)
     machine = ahocorasick.Automaton()
     for words, found in holders.items():
-        machine.add_word((b" " + b" ".join(words) + b" ").decode("latin-1"), (len(words), tuple(sorted(found))))
+        machine.add_word((b" " + b" ".join(words) + b" ").decode("latin-1"), (len(words), tuple(sorted(found, key=str))))
     if holders:
         machine.make_automaton()
     return machine if holders else None
 
 
-def _scan(batches: Iterator[pa.RecordBatch], slices: list[list[tuple[int, str]]], window: int, prefix: str) -> Iterator[pa.RecordBatch]:
+def _scan(
+    batches: Iterator[pa.RecordBatch], slices: list[list[tuple[object, str]]], window: int, prefix: str, item_kind: pa.DataType
+) -> Iterator[pa.RecordBatch]:
     machines = [m for m in (automaton(part, window) for part in slices) if m is not None] if len(slices) == 1 else None
     for batch in batches:
         count = [[], [], [], []]
@@ -84,13 +87,13 @@ def _scan(batches: Iterator[pa.RecordBatch], slices: list[list[tuple[int, str]]]
                 count[3].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
                 starts.append([a for a, _ in spans])
                 stops.append([b for _, b in spans])
-                items.append(sorted(held))
+                items.append(sorted(held, key=str))
         longs = pa.int64()
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, *(pa.array(c, longs) for c in count[:3]), pa.array(count[3], pa.string()),
              pa.array([n > 0 for n in count[1]], pa.bool_()), pa.array(starts, pa.list_(longs)),
-             pa.array(stops, pa.list_(longs)), pa.array(items, pa.list_(longs))],
-            names=[*batch.schema.names, *(f"{prefix}{name}" for name, _ in FOUND)],
+             pa.array(stops, pa.list_(longs)), pa.array(items, pa.list_(item_kind))],
+            names=[*batch.schema.names, *(f"{prefix}{name}" for name, _ in FOUND), f"{prefix}items"],
         )
 
 
@@ -128,7 +131,7 @@ def _spans(flat: bytes, n_words: int, runs: list) -> tuple[int, list[tuple[int,
 def with_leaks(
     docs: DataFrame, benchmark: DataFrame, prefix: str = "leak_", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES
 ) -> DataFrame:
-    """``docs`` with the columns of ``FOUND``, named with ``prefix``; nothing is shuffled.
+    """``docs`` with the columns of ``FOUND`` and ``items``, named with ``prefix``; nothing is shuffled.
 
     The item list is read by the driver and sent to the tasks in slices of at most ``automaton_bytes``
     of text, of which a task holds one automaton at a time.
@@ -143,8 +146,11 @@ def with_leaks(
             room = automaton_bytes
         slices[-1].append((row["item_id"], row["text"]))
         room -= size
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, kind) for name, kind in FOUND)])
-    return docs.mapInArrow(lambda batches: _scan(batches, slices, window, prefix), schema)
+    item_type = kept.schema["item_id"].dataType
+    found = [*FOUND, ("items", T.ArrayType(item_type))]
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, kind) for name, kind in found)])
+    item_kind = to_arrow_type(item_type)
+    return docs.mapInArrow(lambda batches: _scan(batches, slices, window, prefix, item_kind), schema)
 
 
 def find_leaks(
