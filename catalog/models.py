@@ -11,7 +11,7 @@ from sward.operators import mixed_outputs
 from sward.operators.describe import five_numbers, histogram, normal_qq
 from sward.operators.design import design_matrix, factorial
 from sward.operators.margins import back_transform, contrasts, reference_grid, year_steps
-from sward.operators.mixed import Evaluator, fit_designs, group_sums, model_at, solve
+from sward.operators.mixed import Evaluator, fit_designs, group_sums, model_at, solve, submodels_at
 from sward.operators.panel import eligible_series
 from sward.operators.report import tidy_anova, tidy_coefficients
 from sward.plans import decay
@@ -328,6 +328,89 @@ def treatment_contrasts(spark, sf_dir):
     return contrasts(reference_grid(known, model, at, treatments=False), model)
 
 
+@query("aic_at_given_variances", "LM5", "LM6", "LM4", "SC6", "WN14", sql=f"""
+with {_CRITERION}, v as (select *, (h - e * e / a) / (n - 1) as s0 from s where trial = 1),
+w as (select (n - 2) * (ln(2 * pi() * s2) + 1) + ld + ln(a * d - b * b) + 2 * (2 + 3 + 1) as whole,
+    (n - 1) * (ln(2 * pi() * s0) + 1) + ld + ln(a) + 2 * (1 + 3 + 1) as less from v)
+select cast(1 as bigint) as position, 'Full Model' as Predictor, round_even(whole, 1) as AIC,
+  0.0::double as deltaAIC from w
+union all
+select 2, 'Year', round_even(less, 1), round_even(less - whole, 1) from w""")
+def aic_at_given_variances(spark, sf_dir):
+    whole = factorial([["year_trt"]])
+    models = submodels_at(year_sums(spark, sf_dir)[1], [whole, whole.without("year_trt")], _TRIALS[0])
+    return mixed_outputs.aic_table(spark, dict(zip(["Full Model", "Year"], models)))
+
+
+@query("anova_at_given_variances", "LM9", sql=f"""
+with {_CRITERION}
+select cast(unnest([1, 2]) as bigint) as position, unnest(['(Intercept)', 'year_trt']) as Effect,
+  1::bigint as numDF,
+  round(unnest([e * e / (a * s2), b1 * b1 * (a * d - b * b) / (a * s2)]), 6) as "F.value"
+from s where trial = 1""")
+def anova_at_given_variances(spark, sf_dir):
+    model = model_at(year_sums(spark, sf_dir)[1], _TRIALS[0])
+    return mixed_outputs.anova_table(spark, model).select("position", "Effect", "numDF", "`F.value`")
+
+
+_AS_ROWS = _ROWS.replace("ln(adj / (1 - adj)) as y", "asin(sqrt(perc_rank)) as y")
+
+
+@query("arcsine_coefficients_at_given_variances", "LM12", "FN9", sql=f"""
+with {_CRITERION.replace(_ROWS, _AS_ROWS)}
+select unnest(['(Intercept)', 'year_trt']) as Effect, round(unnest([b0, b1]), 6) as Value,
+  round(unnest([sqrt(s2 * d / (a * d - b * b)), sqrt(s2 * a / (a * d - b * b))]), 6) as "Std.Error",
+  round(unnest([b0 / sqrt(s2 * d / (a * d - b * b)), b1 / sqrt(s2 * a / (a * d - b * b))]), 6) as "t.value"
+from s where trial = 3""")
+def arcsine_coefficients_at_given_variances(spark, sf_dir):
+    # the third trial gives the taxa no variance: two levels
+    rows = pin(
+        followed(spark, sf_dir).select(*KEYS, "year_trt", arcsine_root(F.col("perc_rank")).alias("rank_as"))
+    )
+    sums = group_sums(rows, "rank_as", factorial([["year_trt"]]), ["site_code", "plot"])
+    table = mixed_outputs.coefficient_table(spark, model_at(sums, _TRIALS[2][:2]))
+    return table.select("Effect", "Value", "`Std.Error`", "`t.value`")
+
+
+def _signif(x: str, digits: int) -> str:
+    scale = f"pow(10.0, {digits - 1} - floor(log10(abs({x}))))"
+    return f"case when {x} = 0 then 0.0 else round_even({x} * {scale}, 0) / {scale} end"
+
+
+@query("tidy_coefficient_report", "PV6", sql=f"""
+with t as (select case length(site_code) % 3 when 0 then 'initial:' || site_code when 1 then 'MAP_VAR_v2:' || site_code
+    else site_code end as Effect, avg(perc_rank) as v, max(perc_rank) - min(perc_rank) + 0.0625 as se,
+    cast(count(*) as double) as df, avg(perc_rank) / 10 as p from followed group by site_code)
+select Effect, {_signif("v", 3)} as Estimate, {_signif("se", 2)} as "Std.Error", df as DF,
+  {_signif("(v / se)", 2)} as "t.value",
+  case when {_signif("p", 2)} <= 0.001 then '< 0.001' else cast({_signif("p", 2)} as varchar) end as "p.value",
+  cast(case when Effect like 'initial%' then 2 when Effect like 'MAP_VAR_v2%' then 8 else 1 end as bigint) as "order" from t""")
+def tidy_coefficient_report(spark, sf_dir):
+    kind = F.length("site_code") % 3
+    name = F.when(kind == 0, F.concat(F.lit("initial:"), "site_code")).when(kind == 1, F.concat(F.lit("MAP_VAR_v2:"), "site_code"))
+    table = followed(spark, sf_dir).groupBy("site_code").agg(
+        F.avg("perc_rank").alias("Value"), (F.max("perc_rank") - F.min("perc_rank") + 0.0625).alias("Std.Error"),
+        F.count(F.lit(1)).cast("double").alias("DF"),
+    ).withColumn("Effect", F.coalesce(name, F.col("site_code")))
+    return tidy_coefficients(table.withColumns({
+        "position": F.col("DF"), "t.value": F.col("Value") / F.col("`Std.Error`"), "p.value": F.col("Value") / 10,
+    }))
+
+
+@query("tidy_anova_report", "PV5", sql="""
+select site_code as Effect, count(distinct plot) || ',' || count(*) as DF,
+  round_even(avg(year_trt) + 0.0625, 2) as "F value",
+  case when round_even(avg(perc_rank) / 400, 3) = 0 then '< 0.001'
+    else cast(round_even(avg(perc_rank) / 400, 3) as varchar) end as "P value"
+from followed group by site_code""")
+def tidy_anova_report(spark, sf_dir):
+    table = followed(spark, sf_dir).groupBy("site_code").agg(
+        F.countDistinct("plot").alias("numDF"), F.count(F.lit(1)).alias("denDF"),
+        (F.avg("year_trt") + 0.0625).alias("F.value"), (F.avg("perc_rank") / 400).alias("p.value"),
+    )
+    return tidy_anova(table.withColumns({"Effect": F.col("site_code"), "position": F.col("denDF")}))
+
+
 _NPK_ROWS = _ROWS.replace("cast(year_trt as double) as x", "cast(NPK as double) as x")
 
 
@@ -345,7 +428,7 @@ def contrasts_at_given_variances(spark, sf_dir):
         )
     )
     model = model_at(group_sums(rows, "rank_logit", factorial([["NPK"]]), KEYS), _TRIALS[0])
-    found = contrasts(reference_grid(rows, model, {}, treatments=False), model)
+    found = contrasts(reference_grid(rows, model, {"year_trt": [0.0]}, treatments=False), model)
     # the model has no fence term: pairs that differ in the fence alone have no error
     return found.filter("SE > 0").select("contrast", "estimate", "SE", "t_ratio")
 

@@ -651,15 +651,25 @@ def _model(
     )
 
 
-def model_at(sums: GroupSums, ratios: Sequence[float], method: str = "REML") -> MixedModel:
-    """The model with given variance ratios, outermost first, instead of fitted ones."""
+def submodels_at(
+    sums: GroupSums, designs: Sequence[Design], ratios: Sequence[float], method: str = "REML"
+) -> list[MixedModel]:
+    """Models of several designs with given variance ratios, outermost first.
+
+    The designs' columns are among those of ``sums``; one evaluation of the ratios serves them all.
+    """
     evaluator = Evaluator(sums)
     trial = np.array([ratios], dtype=float)
     try:
         matrix, logdet = evaluator.evaluate_centred(trial)[0]
     finally:
         evaluator.close()
-    return _model(sums, sums.design, trial[0], matrix, logdet, method)
+    return [_model(sums, design, trial[0], matrix, logdet, method) for design in designs]
+
+
+def model_at(sums: GroupSums, ratios: Sequence[float], method: str = "REML") -> MixedModel:
+    """The model with given variance ratios, outermost first, instead of fitted ones."""
+    return submodels_at(sums, [sums.design], ratios, method)[0]
 
 
 def fit_nested_lmm(

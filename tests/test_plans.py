@@ -41,9 +41,9 @@ def test_rank_chain_shuffles_once_after_the_top_row(spark):
     rows = ranking.with_rank_percentile(
         base.cover_max(spark, SF), ["site_code", "year_trt", "plot"], "max_cover"
     )
-    both = plan(rows).count("Exchange hashpartitioning(site_code")
-    single = plan(base.cover_max(spark, SF)).count("Exchange hashpartitioning(site_code")
-    assert both == single + 1
+    # the rows are shuffled once, by run; what else is shuffled by group are the runs' counts
+    exchanges = [line for line in plan(rows).splitlines() if "Exchange hashpartitioning(site_code" in line]
+    assert sum("__salt" in line for line in exchanges) == 1 and len(exchanges) == 3
 
 
 QUICK = [
