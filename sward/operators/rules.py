@@ -46,17 +46,84 @@ def repair_values(df: DataFrame, rules: Sequence[dict]) -> DataFrame:
     return df
 
 
+def _merge_table(rules: Sequence[dict]) -> dict[tuple[bool, int | None], dict]:
+    """Keys of the rules by (scoped to a site, prefix length or None for whole names).
+
+    Each key holds its (rule number, new name) pairs, in order.
+    """
+    table: dict[tuple[bool, int | None], dict] = {}
+    for number, rule in enumerate(rules):
+        place = rule.get("site")
+        names = [rule["prefix"]] if "prefix" in rule else rule["names"]
+        kind = (place is not None, len(rule["prefix"]) if "prefix" in rule else None)
+        for name in dict.fromkeys(names):
+            key = (name,) if place is None else (name, place)
+            table.setdefault(kind, {}).setdefault(key, []).append((number, rule["new"]))
+    return table
+
+
+def _merge_depth(rules: Sequence[dict]) -> int:
+    """Most rules that can rename one row after each other."""
+    places: dict[tuple[int | None, str], list] = {}
+    lengths = {len(rule["prefix"]) for rule in rules if "prefix" in rule}
+    depth = [1] * len(rules)
+    for number in reversed(range(len(rules))):
+        rule = rules[number]
+        new, place = rule["new"], rule.get("site")
+        found = [places.get((None, new), [])]
+        found += [places.get((n, new[:n]), []) for n in lengths if n <= len(new)]
+        for later in (item for items in found for item in items):
+            other = rules[later]
+            if other["new"] != new and (place is None or other.get("site") in (None, place)):
+                depth[number] = max(depth[number], 1 + depth[later])
+        for name in [rule["prefix"]] if "prefix" in rule else rule["names"]:
+            places.setdefault((len(name) if "prefix" in rule else None, name), []).append(number)
+    return max(depth, default=0)
+
+
 def merge_taxa(
     df: DataFrame, rules: Sequence[dict], site: str = "site_code", taxon: str = "Taxon"
 ) -> DataFrame:
-    """Lump names within a site by ``prefix`` or by a ``names`` list."""
-    for rule in rules:
-        name = F.col(taxon)
-        hit = name.startswith(rule["prefix"]) if "prefix" in rule else name.isin(rule["names"])
-        if rule.get("site") is not None:
-            hit = hit & (F.col(site) == rule["site"])
-        df = df.withColumn(taxon, F.when(hit, F.lit(rule["new"])).otherwise(name))
-    return df
+    """Lump names within a site by ``prefix`` or by a ``names`` list.
+
+    Rules apply in order and later ones see the new names of earlier ones. They are held as
+    tables joined by name, or by its first letters with one join per length of prefix, so the
+    plan grows with the different lengths and with the longest chain of rules that feed each
+    other, not with their number. A null name stays null; a null site meets no scoped rule.
+    """
+    spark = df.sparkSession
+    lookups = {
+        kind: small_frame(
+            spark,
+            [(*key, pairs) for key, pairs in held.items()],
+            f"__m_name string, {'__m_site string, ' if kind[0] else ''}"
+            "__m_pairs array<struct<at:int,new:string>>",
+        )
+        for kind, held in _merge_table(rules).items()
+    }
+    columns = df.columns
+    df = df.withColumn("__m_last", F.lit(-1))
+    for _ in range(_merge_depth(rules)):
+        name = F.col(f"`{taxon}`")
+        best = []
+        for i, ((scoped, length), lookup) in enumerate(lookups.items()):
+            pairs = f"__m_pairs{i}"
+            condition = F.col("__m_name") == (name if length is None else F.substring(name, 1, length))
+            if scoped:
+                condition = condition & (F.col("__m_site") == F.col(f"`{site}`").cast("string"))
+            df = df.join(lookup.withColumnRenamed("__m_pairs", pairs), condition, "left")
+            df = df.drop("__m_name", "__m_site")
+            later = F.filter(pairs, lambda p: (p["at"] > F.col("__m_last")) & (p["new"] != name))
+            best.append(F.get(later, F.lit(0)))
+        hit = F.array_min(F.array_compact(F.array(*best)))
+        df = df.withColumn("__m_hit", hit).select(
+            *[
+                F.coalesce("__m_hit.new", name).alias(c) if c == taxon else F.col(f"`{c}`")
+                for c in columns
+            ],
+            F.coalesce("__m_hit.at", "__m_last").alias("__m_last"),
+        )
+    return df.drop("__m_last")
 
 
 def collapse(column: Column, members: Sequence, into) -> Column:

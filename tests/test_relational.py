@@ -275,6 +275,44 @@ def test_exclusions_and_merges(spark):
     assert rows(got, "site_code", "Taxon") == [("s", "CAREX SP."), ("s", None), ("t", "CAREX A")]
 
 
+def plain_merge(site, name, given):
+    for rule in given:
+        if name is not None and rule.get("site") in (None, site):
+            if name.startswith(rule["prefix"]) if "prefix" in rule else name in rule["names"]:
+                name = rule["new"]
+    return name
+
+
+def test_merges_equal_one_rule_after_the_other(spark):
+    draw = random.Random(3)
+    for trial in range(4):
+        letters = "abé"
+        word = lambda most: "".join(draw.choice(letters) for _ in range(draw.randint(0, most)))
+        given = []
+        for _ in range(12):
+            match = {"prefix": word(2)} if draw.random() < 0.5 else {"names": [word(3) for _ in range(3)]}
+            given.append({"site": draw.choice(["s", "t", None]), "new": word(3), **match})
+        data = [(i, draw.choice(["s", "t", None]), draw.choice([None, *[word(4) for _ in range(9)]])) for i in range(200)]
+        df = spark.createDataFrame(data, "id long, site_code string, Taxon string")
+        want = [(i, s, plain_merge(s, n, given)) for i, s, n in data]
+        got = rules.merge_taxa(df, given)
+        assert got.columns == df.columns
+        assert {r["id"]: r["Taxon"] for r in got.collect()} == {i: n for i, _, n in want}
+    assert rules.merge_taxa(df, []).collect() == df.collect()
+
+
+def test_ten_thousand_merges_have_the_plan_of_ten(spark):
+    def made(n):
+        return [{"site": f"s{i % 7}", "prefix": f"P{i:05d}", "new": f"G{i:05d}"} for i in range(n)]
+
+    df = spark.createDataFrame([(f"s{i % 7}", f"P{i:05d} x") for i in range(0, 10_050, 50)], "site_code string, Taxon string")
+    few, many = (rules.merge_taxa(df, made(n)) for n in (10, 10_000))
+    size = [len(f._jdf.queryExecution().optimizedPlan().toString().splitlines()) for f in (few, many)]
+    assert size[0] == size[1]
+    assert sorted(r["Taxon"] for r in many.collect()) == sorted(
+        f"G{i:05d}" if i < 10_000 else f"P{i:05d} x" for i in range(0, 10_050, 50))
+
+
 def test_sentinel_audit(spark):
     df = spark.createDataFrame([("A", "NULL"), ("A", "NULL"), ("B", "NULL"), ("C", "x")], "Taxon string, life string")
     got = rules.sentinel_audit(df, ["life"], ["NULL", "UNK"])
