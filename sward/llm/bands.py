@@ -1,8 +1,8 @@
 """Quality rules: compression bands over whole texts and fixed chunks, beside word rules.
 
 A text whose zstandard ratio is high repeats itself; one whose ratio is low carries no
-language. Short texts compress badly whatever they hold, so every limit depends on length. Lower limits
-are set just under the ratios that most texts of a length have in the corpus at hand.
+language. Short texts compress badly whatever they hold, so every limit depends on length. Limits
+are set beyond the ratios that most texts of a length have in the corpus at hand, whatever their language.
 """
 
 from __future__ import annotations
@@ -35,9 +35,10 @@ BANDS = (
     (float("inf"), 1.45, 9.0),
 )
 
-# A lower limit stands below the median ratio by REACH times the way to the first quartile, and by at least
-# LEAST_GAP of the median. Lengths are taken by half octaves; one with fewer texts uses a shorter one's limit.
-REACH, LEAST_GAP, LEAST_TEXTS = 5.0, 0.12, 50
+# A lower limit stands below the median ratio by REACH times the way to the first quartile, an upper one above the
+# third quartile by FENCE times the way between the quartiles (Tukey's outer fence); each at least LEAST_GAP of the median
+# away from it. Lengths are taken by half octaves; one with fewer than LEAST_TEXTS texts has no limit of its own.
+REACH, FENCE, LEAST_GAP, LEAST_TEXTS = 5.0, 3.0, 0.12, 50
 # Width of a step of the ratios' histogram.
 STEP = 0.01
 
@@ -68,9 +69,9 @@ def half_octave(size: np.ndarray) -> np.ndarray:
     return np.floor(2 * np.log2(np.maximum(size, 1))).astype(np.int64)
 
 
-def lower_limits(histogram: list[tuple[int, int, int]]) -> np.ndarray:
-    """Lower limit of each half octave of lengths, from (half octave, step of the ratio, texts); 0 where none is known."""
-    out = np.zeros(128)
+def corpus_limits(histogram: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper limit of each half octave of lengths, from (half octave, step of the ratio, texts); 0 where none is known."""
+    lower, upper = np.zeros(128), np.zeros(128)
     held: dict[int, list[tuple[int, int]]] = {}
     for octave, at, n in histogram:
         held.setdefault(octave, []).append((at, n))
@@ -78,10 +79,11 @@ def lower_limits(histogram: list[tuple[int, int, int]]) -> np.ndarray:
         at, n = np.array(sorted(pairs)).T
         upto = np.cumsum(n)
         if upto[-1] >= LEAST_TEXTS:
-            quarter, middle = ((at[np.searchsorted(upto, q * upto[-1])] + 0.5) * STEP for q in (0.25, 0.5))
-            out[octave] = middle - max(REACH * (middle - quarter), LEAST_GAP * middle)
+            first, middle, third = ((at[np.searchsorted(upto, q * upto[-1])] + 0.5) * STEP for q in (0.25, 0.5, 0.75))
+            lower[octave] = middle - max(REACH * (middle - first), LEAST_GAP * middle)
+            upper[octave] = max(third + FENCE * (third - first), (1 + LEAST_GAP) * middle)
     # prose of more bytes compresses better, so the limit of a shorter length holds too
-    return np.maximum.accumulate(out)
+    return np.maximum.accumulate(lower), np.where(upper > 0, np.maximum.accumulate(upper), 0.0)
 
 
 def repeat_words(start: np.ndarray, stop: np.ndarray, row: np.ndarray, rows: int, prefix: np.ndarray, window: int) -> np.ndarray:
@@ -144,16 +146,20 @@ def measure(text: Text, packer: zstandard.ZstdCompressor) -> dict[str, list]:
     return dict(zip((name for name, _ in MEASURED), (n_words, chars, symbols, lines, repeats, failed, ratios, np.diff(offsets), parted)))
 
 
-def judge(failed: np.ndarray, size: np.ndarray, ratio: np.ndarray, parted: list[np.ndarray], lower: np.ndarray):
-    """(kept, bad chunks, chunks) of each text under the lower limits of the corpus and the outer ones."""
+def judge(failed: np.ndarray, size: np.ndarray, ratio: np.ndarray, parted: list[np.ndarray], lower: np.ndarray, upper: np.ndarray):
+    """(kept, bad chunks, chunks) of each text under the limits of the corpus and the outer ones."""
 
     def outside(size, ratio):
         low, high = np.array([limits(s) for s in size], np.float64).reshape(-1, 2).T
-        # the limit of a half octave holds at its middle; between two middles it rises with the logarithm of the length
+        # the limit of a half octave holds at its middle; between two middles it changes with the logarithm of the length
+        at = 2 * np.log2(np.maximum(size, 1)) - 0.5
         known = np.flatnonzero(lower)
-        own = np.interp(2 * np.log2(np.maximum(size, 1)) - 0.5, known, lower[known]) if len(known) else np.zeros(len(size))
+        own = np.interp(at, known, lower[known]) if len(known) else np.zeros(len(size))
         own = np.where(lower[half_octave(size)] > 0, own, 0.0)
-        return (ratio < np.maximum(low, own)) | (ratio > high)
+        known = np.flatnonzero(upper)
+        # a text longer than those that set limits may compress better than they do
+        most = np.interp(at, known, upper[known], right=np.inf) if len(known) else np.full(len(size), np.inf)
+        return (ratio < np.maximum(low, own)) | (ratio > np.minimum(high, most))
 
     many = np.array([len(p) for p in parted], np.int64)
     row = np.repeat(np.arange(len(size)), many)
@@ -169,7 +175,7 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per document: word measures, ``base_failed``, compression ratios and ``kept``.
 
     A null text is empty: no words, ratio 1, base rule failed, not kept. Equal rows give equal
-    results; an empty table an empty one. Only id and text are read. Lower limits come from all texts
+    results; an empty table an empty one. Only id and text are read. Limits come from all texts
     of the table that meet the word rules and the outer limits.
     """
     prepare(docs.sparkSession)
@@ -203,13 +209,13 @@ def compression_bands(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     counted = measured.filter("not base_failed").select("size", "ratio", "parted").mapInArrow(steps, "octave long, at long")
     # as many rows as there are steps between the outer limits, for each doubling of the length twice
-    lower = lower_limits([tuple(r) for r in counted.groupBy("octave", "at").count().collect()])
+    within = corpus_limits([tuple(r) for r in counted.groupBy("octave", "at").count().collect()])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parted = [np.array(p, np.float64) for p in batch.column("parted").to_pylist()]
             failed = batch.column("base_failed").to_numpy(zero_copy_only=False)
-            judged = judge(failed, batch.column("size").to_numpy(), batch.column("ratio").to_numpy(), parted, lower)
+            judged = judge(failed, batch.column("size").to_numpy(), batch.column("ratio").to_numpy(), parted, *within)
             new = dict(zip(("kept", "bad_chunks", "chunks"), judged))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), *(pa.array(new[n], kinds[k]) if n in new else batch.column(n) for n, k in SCHEMA)],
