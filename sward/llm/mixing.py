@@ -23,6 +23,8 @@ MOST_COPIES = 3
 CHUNK = 256
 ROUNDS = 60
 TOLERANCE = 1e-6
+# Rates are rounded, so that the order in which sums were added, which differs between runs, does not show in the copies.
+RATE_DIGITS = 6
 
 
 def word_count(text: Column) -> Column:
@@ -127,33 +129,43 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     solved = multipliers(histogram, targets)
     # one row per (source, size) carries the rate; the join is on the pair, so a hot source is spread
     worded = _on_source(histogram.filter("size > 0"), solved).select(
-        "source", "size", _rate(MOST_COPIES).alias("rate")
+        "source", "size", F.round(_rate(MOST_COPIES), RATE_DIGITS).alias("rate")
     )
     totals = targets.select("source", "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / CHUNK)).alias("chunks"))
-    rated = _on_source(sized, totals).join(
+    # rows alike in id, size and source are counted, then cut into blocks, each rounded as a whole
+    alike = sized.groupBy("source", "size", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    blocks = alike.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))).withColumn(
+        "rows", F.least(F.lit(CHUNK).cast("long"), F.col("n") - F.col("block") * CHUNK)
+    )
+    rated = _on_source(blocks, totals).join(
         worded.select(F.col("source").alias("__s"), F.col("size").alias("__z"), "rate"),
         F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")), "left",
     ).drop("__s", "__z").withColumn("rate", F.coalesce("rate", F.lit(1.0)))
-    # equal ids are told apart by nothing else than their size; the error is carried from large to small
-    one = F.struct(F.col("size"), F.col("doc_id"), F.col("rate"))
-    chunk = F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks"))
+    # the error is carried from large to small
+    one = F.struct("size", "doc_id", "block", "rows", "rate")
+    chunk = F.pmod(F.xxhash64("doc_id", "size", "block"), F.col("chunks"))
     chunks = rated.withColumn("__chunk", chunk).groupBy("source", "__chunk", "source_size", "target").agg(
         F.sort_array(F.collect_list(one), asc=False).alias("__rows")
     )
-    kind = "array<struct<size:bigint,doc_id:{0},rate:double,copies:int>>".format(dict(sized.dtypes)["doc_id"])
+    kind = "array<struct<size:bigint,doc_id:{0},rows:bigint,rate:double,copies:bigint>>".format(dict(sized.dtypes)["doc_id"])
     start = F.struct(F.lit(0.0).alias("owed"), F.array().cast(kind).alias("done"))
 
     def step(held, row):
-        owed = held["owed"] + row["rate"] * row["size"]
+        size, rows, rate = row["size"], row["rows"], row["rate"]
+        owed = held["owed"] + rate * size * rows
         copies = F.when(
-            row["size"] > 0,
-            F.least(F.lit(MOST_COPIES), F.greatest(F.floor(row["rate"]), F.least(F.ceil(row["rate"]), F.round(owed / row["size"])))),
-        ).otherwise(1).cast("int")
-        done = F.struct(row["size"].alias("size"), row["doc_id"].alias("doc_id"), row["rate"].alias("rate"), copies.alias("copies"))
-        return F.struct((owed - copies * row["size"]).alias("owed"), F.concat(held["done"], F.array(done)).alias("done"))
-
-    rows = chunks.select("source", "source_size", "target", F.explode(F.aggregate("__rows", start, step)["done"]).alias("r"))
+            size > 0,
+            F.least(MOST_COPIES * rows, F.greatest(F.floor(rate) * rows, F.least(F.ceil(rate) * rows, F.round(owed / size)))),
+        ).otherwise(rows).cast("long")
+        done = F.struct(size.alias("size"), row["doc_id"].alias("doc_id"), rows.alias("rows"), rate.alias("rate"), copies.alias("copies"))
+        return F.struct((owed - copies * size).alias("owed"), F.concat(held["done"], F.array(done)).alias("done"))
+
+    done = chunks.select("source", "source_size", "target", F.explode(F.aggregate("__rows", start, step)["done"]).alias("r"))
+    # a block's copies are dealt over its rows, one more to the first ones
+    each, over = F.floor(F.col("r.copies") / F.col("r.rows")), F.col("r.copies") % F.col("r.rows")
+    dealt = F.transform(F.sequence(F.lit(1).cast("long"), F.col("r.rows")), lambda i: (each + (i <= over).cast("long")).cast("int"))
+    rows = done.withColumn("copies", F.explode(dealt))
     return rows.select(
-        "r.doc_id", "source", "r.size", "source_size", "target", "r.rate", "r.copies",
-        (F.col("r.copies") * F.col("r.size")).cast("long").alias("taken"),
+        "r.doc_id", "source", "r.size", "source_size", "target", "r.rate", "copies",
+        (F.col("copies") * F.col("r.size")).cast("long").alias("taken"),
     )

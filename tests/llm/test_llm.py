@@ -1,15 +1,18 @@
 """The ten operators against brute force on small tables with nulls, empty texts, ties and repeats."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 
 from sward.llm import components as linking
 from sward.llm import substrings
+from sward.llm import bands, mixing
 from sward.llm.bands import compression_bands
 from sward.llm.classifier import score_quality
 from sward.llm.common import Text
@@ -164,6 +167,82 @@ def test_incompressible_text_is_dropped_at_every_length(spark):
     assert sum(kept[i] for i in range(len(good))) >= 0.99 * len(good)
 
 
+def plain_bands(texts):
+    """Which texts are kept, one at a time, with limits from sorted lists."""
+    packer = zstandard.ZstdCompressor(level=bands.LEVEL)
+    ratio = lambda raw: len(raw) / len(packer.compress(raw)) if raw else 1.0
+    octave = lambda n: math.floor(2 * math.log2(max(n, 1)))
+    cases, held = [], defaultdict(list)
+    for text in texts:
+        raw = (text or "").encode()
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        repeat = {j for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        parts = [raw[a : a + 4096] for a in range(0, len(raw), 4096)]
+        if len(parts) > 1 and len(parts[-1]) < 2048:
+            parts[-2:] = [parts[-2] + parts[-1]]
+        parts = parts if len(parts) > 1 else []
+        failed = len(words) < 50 or 100 * len(repeat) > 50 * len(words)
+        cases.append((failed, [(len(raw), ratio(raw))], [(len(p), ratio(p)) for p in parts]))
+        if not failed:
+            middle = [(4096, float(np.median([r for _, r in cases[-1][2]])))] if parts else []
+            for n, r in cases[-1][1] + middle:
+                low, high = bands.limits(n)
+                if low <= r <= high:
+                    held[octave(n)].append(int(r / 0.01))
+    lower, upper = {}, {}
+    for o, found in held.items():
+        if len(found) >= 50:
+            first, middle, third = ((sorted(found)[math.ceil(q * len(found)) - 1] + 0.5) * 0.01 for q in (0.25, 0.5, 0.75))
+            lower[o] = middle - max(5 * (middle - first), 0.12 * middle)
+            upper[o] = max(third + 3 * (third - first), 1.12 * middle)
+
+    def between(limit, n, beyond):
+        x = 2 * math.log2(max(n, 1)) - 0.5
+        known = sorted(limit)
+        y = {o: max(limit[k] for k in known if k <= o) for o in known}
+        if not known or x > known[-1]:
+            return beyond(y[known[-1]]) if known else beyond(None)
+        left = max((o for o in known if o <= x), default=None)
+        if left is None:
+            return y[known[0]]
+        right = min((o for o in known if o >= x))
+        return y[left] if left == right else y[left] + (y[right] - y[left]) * (x - left) / (right - left)
+
+    def outside(n, r):
+        low, high = bands.limits(n)
+        # lower limits hold for longer texts, not for shorter ones; upper limits the other way round
+        own = between(lower, n, lambda last: last or 0.0) if lower and octave(n) >= min(lower) else 0.0
+        most = between(upper, n, lambda last: math.inf)
+        return r < max(low, own) or r > min(high, most)
+
+    return [
+        not failed and not outside(*whole[0]) and sum(outside(*p) for p in parts) <= 0.1 * max(1, len(parts))
+        for failed, whole, parts in cases
+    ]
+
+
+def test_bands_equal_a_plain_computation(spark):
+    draw = random.Random(11)
+    some = ["".join(draw.choice(["ba", "ter", "en", "lo", "sti", "ung", "ra", "mi"]) for _ in range(draw.randint(1, 4))) for _ in range(3000)]
+
+    def text(words, kinds=3000):
+        return " ".join(some[int(kinds * draw.random() ** 3)] for _ in range(words))
+
+    marked = [re.sub(" ", "$$$ ", text(n)) for n in (100, 300, 900, 2500) for _ in range(6)]
+    narrow = [text(n, 60) for n in (100, 300, 900, 2500) for _ in range(6)]
+    half = [text(1500) + " " + re.sub(" ", "### ", text(1500)) for _ in range(6)]
+    prose_ = [text(n + draw.randint(0, n // 3)) for n in (60, 100, 300, 900, 2500) for _ in range(70)]
+    junk = marked + narrow + half
+    texts = [None, "", "x", *prose_, *junk, *["".join(draw.choice("abcdefghij ") for _ in range(n)) for n in (500, 5000, 50000)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["kept"] for r in compression_bands(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == plain_bands(texts)
+    first = 3 + len(prose_)
+    assert sum(got[i] for i in range(3, first)) >= 0.98 * len(prose_)
+    assert sum(got[i] for i in range(first, first + len(junk))) <= 0.2 * len(junk)
+
+
 def test_scores_are_sound_and_learned(spark, docs, labels):
     for run, label in ((score_quality, "quality"), (score_toxicity, "toxic")):
         for given in (labels, labels.limit(0)):
@@ -274,6 +353,47 @@ def test_mixing(spark, docs):
     assert mix_sources(docs.limit(0)).count() == 0 and mix_sources(docs).count() == len(TEXTS)
 
 
+def test_mixing_of_repeated_ids(spark):
+    rows = [(1, "w w w", "a")] * 2000 + [(None, "w w", "a")] * 700 + [(i, "w " * (1 + i % 9), "b") for i in range(300)] + [(1, "w w w", None)] * 3
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(frame).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in got) == Counter((i, len(t.split()), s) for i, t, s in rows)
+    taken, target = Counter(), {}
+    for r in got:
+        assert math.floor(r["rate"]) <= r["copies"] <= math.ceil(r["rate"]) and r["taken"] == r["copies"] * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 3 for s in target)
+    again = mix_sources(frame.repartition(5)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in again)
+
+
+def plain_targets(sizes, weights=(5, 2, 1)):
+    """Shares by weight; a source above three times its size stops there and the others share anew."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, open_, out = float(sum(sizes.values())), set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not full:
+            return out | {s: level * weight[s] for s in open_}
+        for s in full:
+            out[s] = 3.0 * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_targets_equal_a_plain_reshare(spark):
+    draw = random.Random(8)
+    for _ in range(4):
+        sizes = {s: int(10 ** (4 * draw.random())) for s in draw.sample([None, "a", "b", "c", "d", "e", "f", "g", "é"], draw.randint(1, 9))}
+        frame = spark.createDataFrame([(s, 1, n) for s, n in sizes.items()], "source string, docs long, size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(frame).collect()}
+        assert got == pytest.approx(plain_targets(sizes))
+
+
 def test_shards(spark, docs):
     counts = [(s, rng.randint(1, 60)) for s in rng.sample(range(1, 500), 40)]
     load = [0] * 8
