@@ -80,13 +80,15 @@ def _shares(z: np.ndarray) -> np.ndarray:
 
 
 def _exact_share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Softmax of each row at its target; columns are added one after the other, whatever stands beside a row."""
+    """Softmax of each row at its target; columns, a power of two, are added in one order, whatever stands beside a row."""
     np.clip(z, -40, 40, out=z)
     np.exp(z, out=z)
-    total = z[:, 0].copy()
-    for column in range(1, z.shape[1]):
-        total += z[:, column]
-    return z[np.arange(len(z)), target] / total
+    own = z[np.arange(len(z)), target]
+    # halves are added to halves: the order is fixed by the number of columns
+    while z.shape[1] > 1:
+        half = z.shape[1] // 2
+        z = z[:, :half] + z[:, half:]
+    return own / z[:, 0]
 
 
 class Network:
@@ -118,7 +120,7 @@ class Network:
         embed, first, bias, second, out, deep, deep_out = self.parts
         n = len(cell)
         # by class, so that each class's tokens meet its weights at once
-        order = np.argsort(cell, kind="stable")
+        order = np.argsort((cell // SUBS).astype(np.uint16), kind="stable")
         cell, context = cell.take(order), context.take(order, axis=0)
         kind, sub = cell // SUBS, cell % SUBS
         ends = np.searchsorted(kind, np.arange(CLASSES + 1))
@@ -164,18 +166,27 @@ class Network:
             self.units = [np.rint(np.ldexp(p, UNIT_BITS)) for p in chosen]
         embed, first, second, deep = self.units
         bias, out, deep_out = (self.parts[i].astype(np.float64) for i in (2, 4, 6))
-        order = np.argsort(cell, kind="stable")
+        shrink = 2.0 ** (-2 * UNIT_BITS)  # multiplying by a power of two is exact
+        order = np.argsort((cell // SUBS).astype(np.uint16), kind="stable")
         own, context = cell.take(order), context.take(order, axis=0)
         kind = own // SUBS
-        hidden = np.tanh(np.ldexp(embed.take(context, axis=0).reshape(len(context), -1) @ first, -2 * UNIT_BITS) + bias)
-        hidden = np.rint(np.ldexp(hidden, UNIT_BITS))
+        hidden = embed.take(context, axis=0).reshape(len(context), -1) @ first
+        hidden *= shrink
+        hidden += bias
+        np.tanh(hidden, out=hidden)
+        hidden *= 2.0**UNIT_BITS
+        np.rint(hidden, out=hidden)
         inner = np.empty((len(own), SUBS))
         ends = np.searchsorted(kind, np.arange(CLASSES + 1))
         for c in range(CLASSES):
             if ends[c] < ends[c + 1]:
                 inner[ends[c] : ends[c + 1]] = hidden[ends[c] : ends[c + 1]] @ deep[c]
-        chance = _exact_share(np.ldexp(hidden @ second, -2 * UNIT_BITS) + out, kind)
-        chance *= _exact_share(np.ldexp(inner, -2 * UNIT_BITS) + deep_out.take(kind, axis=0), own % SUBS)
+        outer = hidden @ second
+        for z in (outer, inner):
+            z *= shrink
+        outer += out
+        inner += deep_out.take(kind, axis=0)
+        chance = _exact_share(outer, kind) * _exact_share(inner, own % SUBS)
         back = np.empty(len(own))
         back[order] = chance
         return back
