@@ -18,6 +18,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ BATCH_CHARS = 4 << 20
 # Runs that every version of the tokenizer's split keeps together and parts from each other: Latin letters,
 # digits, ASCII marks, one line end. The split treats an apostrophe and several line ends in ways of its own.
 _PIECES = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+|\n")
+# The usual segment: a word, with marks behind it or none.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+_ID = attrgetter("id")
 # The fixed byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for code points from 256.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {byte: chr(byte) for byte in _PRINTED} | {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
@@ -93,29 +97,38 @@ class Segments(dict):
         return len(self.start) - 2
 
     def __missing__(self, segment: str) -> int:
-        if not segment or segment[0].isspace() or segment[-1].isspace():
+        usual = _WORD.fullmatch(segment)
+        if usual is not None:
+            word, marks = usual.groups()
+            if not marks:
+                code = self[segment] = self.add(self.encoded(_LETTERS[" "], segment))
+                return code
+            pieces = [word, marks]
+        elif not segment or segment[0].isspace() or segment[-1].isspace():
             self[segment] = -1
             return -1
-        pieces = _PIECES.findall(segment)
-        if len(pieces) == 1 and pieces[0] == segment:
-            ids = self.encoded(_LETTERS[" "], segment)
-        elif sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
-            ids = [token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece)]
         else:
-            code = self[pieces[0]]
-            ids = self.ids[self.start[code] : self.start[code + 1]]
-            for piece in pieces[1:]:
-                known = self.bare.get(piece)
-                if known is None:
-                    known = self.bare[piece] = array("i", self.encoded("", piece))
-                ids += known
+            pieces = _PIECES.findall(segment)
+            if len(pieces) == 1 and pieces[0] == segment:
+                code = self[segment] = self.add(self.encoded(_LETTERS[" "], segment))
+                return code
+            if sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
+                code = self[segment] = self.add(token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece))
+                return code
+        code = self[pieces[0]]
+        ids = self.ids[self.start[code] : self.start[code + 1]]
+        for piece in pieces[1:]:
+            known = self.bare.get(piece)
+            if known is None:
+                known = self.bare[piece] = array("i", self.encoded("", piece))
+            ids += known
         code = self[segment] = self.add(ids)
         return code
 
-    def encoded(self, lead: str, piece: str) -> list[int]:
+    def encoded(self, lead: str, piece: str) -> Iterator[int]:
         """Ids of a piece that the tokenizer does not split."""
         letters = lead + piece if piece.isascii() and piece != "\n" else lead + "".join(map(_LETTERS.__getitem__, piece))
-        return [token.id for token in self.model.tokenize(letters)]
+        return map(_ID, self.model.tokenize(letters))
 
     def whole(self, text: str) -> int:
         """A code for the ids of ``text`` as the tokenizer gives them, kept for this batch alone."""
