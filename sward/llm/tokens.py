@@ -8,8 +8,9 @@ and neither table is rewritten. ``read_index`` reads the metadata columns alone;
 reads the row groups and pages of the asked ids.
 
 A word is encoded once per worker: the tokenizer never joins what stands before a space that has no
-other white space beside it with what follows, so texts are cut there, and the ids of each
-different segment are kept in a bounded table that the tasks of a worker share.
+other white space beside it with what follows, so texts are cut there. Equal segments of a batch are
+brought together by Arrow, and the ids of each different one are kept in a bounded table that the
+tasks of a worker share.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,11 +37,12 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 900_000
+KEPT_SEGMENTS = 700_000
 KEPT_IDS = 16_000_000
-# Characters of a text cut into segments at a time, and characters encoded before a batch goes out.
+# Characters of a text encoded in one piece, bytes cut into segments at a time, and segments whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_CHARS = 4 << 20
+BATCH_BYTES = 16 << 20
+EXPANDED_CODES = 600_000
 
 # Runs that every version of the tokenizer's split keeps together and parts from each other: Latin letters,
 # digits, ASCII marks, one line end. The split treats an apostrophe and several line ends in ways of its own.
@@ -86,6 +89,7 @@ class Segments(dict):
     def forget(self) -> None:
         self.clear()
         self.bare: dict[str, array] = {}
+        self.first: dict[str, int] = {}
         self.ids, self.start = array("i", [self.end_id]), array("q", [0, 1])
 
     def full(self) -> bool:
@@ -131,28 +135,30 @@ class Segments(dict):
         return map(_ID, self.model.tokenize(letters))
 
     def whole(self, text: str) -> int:
-        """A code for the ids of ``text`` as the tokenizer gives them, kept for this batch alone."""
+        """A code for the ids of ``text`` as the tokenizer gives them."""
         return self.add(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def codes(self, text: str) -> Iterator[np.ndarray]:
-        """Codes whose ids, joined, are the ids of ``text``."""
-        begin = 0
-        while begin < len(text):
-            end = text.find(" ", begin + CUT_CHARS)
-            while end > 0 and (text[end - 1].isspace() or text[end + 1 : end + 2].isspace() or end + 1 == len(text)):
-                end = text.find(" ", end + 1)
-            cut = text[begin:] if end < 0 else text[begin:end]
-            segments = cut.split(" ")
-            found = np.fromiter(map(self.__getitem__, segments[1:]), np.int64, len(segments) - 1)
-            if segments[0] and (segments[0][-1].isspace() or (len(found) and found.min() < 0)):
-                yield np.array([self.whole(cut)])
-            elif not segments[0] and (begin == 0 or (len(found) and found.min() < 0)):
-                yield np.array([self.whole(cut)])
-            else:
-                if segments[0]:
-                    yield np.array([self.whole(segments[0])])
-                yield found
-            begin = len(text) if end < 0 else end
+    def codes(self, cuts: pa.Array, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(codes whose ids, joined, are the ids of the cuts, number of codes of each cut).
+
+        Equal segments are brought together first, so each is looked up once. ``follows`` marks the cuts
+        that a space of their text precedes.
+        """
+        lists = pc.split_pattern(cuts, " ")
+        begin, values = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        place, different = values.indices.to_numpy(), values.dictionary.to_numpy(zero_copy_only=False)
+        codes = np.fromiter(map(self.__getitem__, different), np.int64, len(different))[place]
+        for i in np.flatnonzero(~follows):  # a text's first segment follows no space
+            segment = different[place[begin[i]]]
+            code = self.first.get(segment)
+            if code is None:
+                code = self.first[segment] = self.whole(segment) if segment and not segment[-1].isspace() else -1
+            codes[begin[i]] = code
+        used = np.ones(len(codes), bool)
+        for i in np.flatnonzero(np.minimum.reduceat(codes, begin[:-1]) < 0):
+            codes[begin[i]] = self.whole(" " * bool(follows[i]) + cuts[int(i)].as_py())
+            used[begin[i] + 1 : begin[i + 1]] = False
+        return codes[used], np.add.reduceat(used, begin[:-1], dtype=np.int64)
 
     def expand(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each code)."""
@@ -165,23 +171,44 @@ class Segments(dict):
 _segments: dict[tuple[str, int], Segments] = {}
 
 
+def _cuts(text: str) -> Iterator[str]:
+    """Parts of a long text, cut at (and without) spaces that have no other white space beside them."""
+    begin = end = 0
+    while end >= 0:
+        end = text.find(" ", begin + CUT_CHARS)
+        while end > 0 and (text[end - 1].isspace() or text[end + 1 : end + 2].isspace() or end + 1 == len(text)):
+            end = text.find(" ", end + 1)
+        yield text[begin:] if end < 0 else text[begin:end]
+        begin = end + 1
+
+
 def _encode(texts: pa.Array, segments: Segments) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(rows, ids of these rows, ids of each row) for runs of texts of about ``BATCH_CHARS``."""
-    end = np.zeros(1, np.int64)
+    """(rows, ids of these rows, ids of each row) for runs of texts of about ``BATCH_BYTES``."""
+    texts = texts.fill_null("")
+    size = pc.binary_length(texts).to_numpy()
+    stops = np.cumsum(size, dtype=np.int64)
     first = 0
     while first < len(texts):
-        parts, rows, size, last = [], [], 0, first
-        while last < len(texts) and size < BATCH_CHARS:
-            text = texts[last].as_py() or ""
-            held = [*segments.codes(text), end]
-            size += len(text)
-            parts += held
-            rows.append(sum(map(len, held)))
-            last += 1
-        ids, n = segments.expand(np.concatenate(parts))
-        sums = np.concatenate(([0], np.cumsum(n)))
-        stops = sums[np.cumsum(rows)]
-        yield last - first, ids, np.diff(stops, prepend=0)
+        last = max(first + 1, int(np.searchsorted(stops, stops[first] - size[first] + BATCH_BYTES, "right")))
+        cuts, n_cuts = texts[first:last], np.ones(last - first, np.int64)
+        if size[first:last].max() > CUT_CHARS:
+            parts = [[*_cuts(text.as_py())] for text in cuts]
+            n_cuts = np.array([len(part) for part in parts])
+            cuts = pa.array([cut for part in parts for cut in part], pa.large_string())
+        begin = np.cumsum(n_cuts) - n_cuts
+        follows = np.ones(len(cuts), bool)
+        follows[begin] = False
+        codes, n = segments.codes(cuts, follows)
+        ends = np.cumsum(np.add.reduceat(n, begin))
+        codes = np.insert(codes, ends, 0)
+        ends += np.arange(1, len(ends) + 1)
+        low = start = 0
+        while low < len(ends):  # a part of the run's codes at a time, since ids take more room
+            high = max(low + 1, int(np.searchsorted(ends, start + EXPANDED_CODES, "right")))
+            ids, n = segments.expand(codes[start : ends[high - 1]])
+            sums = np.concatenate(([0], np.cumsum(n)))
+            yield high - low, ids, np.diff(sums[ends[low:high] - start], prepend=0)
+            low, start = high, int(ends[high - 1])
         first = last
         if segments.full():
             segments.forget()

@@ -50,7 +50,8 @@ def plain_ids(texts):
 
 def test_segments_give_the_ids_of_whole_texts(monkeypatch):
     monkeypatch.setattr(tokens, "CUT_CHARS", 40)
-    monkeypatch.setattr(tokens, "BATCH_CHARS", 500)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 500)
+    monkeypatch.setattr(tokens, "EXPANDED_CODES", 30)
     monkeypatch.setattr(tokens, "KEPT_SEGMENTS", 50)
     odd = [" ", "  ", " ", "\x1c", "\n", "\t", "​", " ", "'s", "!", "é", "ß", "a", "B", "7", "٣", "한", "😀", "\x85", "_"]
     texts = [*TEXTS, *["".join(rng.choice(odd) for _ in range(rng.randint(0, 120))) for _ in range(1500)], "long " * 3000, "x" * 5000]
