@@ -37,11 +37,11 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 700_000
+KEPT_SEGMENTS = 600_000
 KEPT_IDS = 16_000_000
 # Characters of a text encoded in one piece, bytes cut into segments at a time, and segments whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 EXPANDED_CODES = 600_000
 
 # Runs that every version of the tokenizer's split keeps together and parts from each other: Latin letters,
