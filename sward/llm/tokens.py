@@ -15,10 +15,12 @@ tasks of a worker share.
 
 from __future__ import annotations
 
+import codecs
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, islice
 from operator import attrgetter
 
 import numpy as np
@@ -37,12 +39,14 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 700_000
 KEPT_IDS = 16_000_000
 # Characters of a text encoded in one piece, bytes cut into segments at a time, and segments whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 10 << 20
 EXPANDED_CODES = 600_000
+# New segments whose words are tokenized together.
+LEARNED_SEGMENTS = 5_000
 
 # Runs that every version of the tokenizer's split keeps together and parts from each other: Latin letters,
 # digits, ASCII marks, one line end. The split treats an apostrophe and several line ends in ways of its own.
@@ -53,6 +57,7 @@ _ID = attrgetter("id")
 # The fixed byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for code points from 256.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {byte: chr(byte) for byte in _PRINTED} | {byte: chr(256 + i) for i, byte in enumerate(b for b in range(256) if b not in _PRINTED)}
+_ALPHABET = "".join(_BYTES[byte] for byte in range(256))
 
 
 class _Letters(dict):
@@ -101,34 +106,48 @@ class Segments(dict):
         return len(self.start) - 2
 
     def __missing__(self, segment: str) -> int:
-        usual = _WORD.fullmatch(segment)
-        if usual is not None:
-            word, marks = usual.groups()
-            if not marks:
-                code = self[segment] = self.add(self.encoded(_LETTERS[" "], segment))
-                return code
-            pieces = [word, marks]
-        elif not segment or segment[0].isspace() or segment[-1].isspace():
+        if not segment or segment[0].isspace() or segment[-1].isspace():
             self[segment] = -1
             return -1
+        pieces = _PIECES.findall(segment)
+        if len(pieces) == 1 and pieces[0] == segment:
+            ids = self.encoded(_LETTERS[" "], segment)
+        elif sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
+            ids = [token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece)]
         else:
-            pieces = _PIECES.findall(segment)
-            if len(pieces) == 1 and pieces[0] == segment:
-                code = self[segment] = self.add(self.encoded(_LETTERS[" "], segment))
-                return code
-            if sum(map(len, pieces)) != len(segment) or "'" in segment or "\n\n" in segment:
-                code = self[segment] = self.add(token.id for piece, _ in self.split(" " + segment) for token in self.model.tokenize(piece))
-                return code
-        code = self[pieces[0]]
-        ids = self.ids[self.start[code] : self.start[code + 1]]
-        for piece in pieces[1:]:
-            known = self.bare.get(piece)
-            if known is None:
-                known = self.bare[piece] = array("i", self.encoded("", piece))
-            ids += known
+            code = self[pieces[0]]
+            ids = self.ids[self.start[code] : self.start[code + 1]]
+            for piece in pieces[1:]:
+                known = self.bare.get(piece)
+                if known is None:
+                    known = self.bare[piece] = array("i", self.encoded("", piece))
+                ids += known
         code = self[segment] = self.add(ids)
         return code
 
+    def learn(self, segments: list[str]) -> None:
+        """Add the words among new segments, with the marks that follow them, all at once."""
+        usual = [found.groups() for found in map(_WORD.fullmatch, segments) if found is not None]
+        words = [word for word in dict.fromkeys(word for word, _ in usual) if word not in self]
+        letters = codecs.charmap_decode((" " + "\n ".join(words)).encode(), "strict", _ALPHABET)[0].split(_BYTES[10])
+        found = [*map(self.model.tokenize, letters)] if words else []
+        ids, start = self.ids, self.start
+        code = len(start) - 1
+        start.extend(islice(accumulate(map(len, found), initial=start[-1]), 1, None))
+        ids.extend(map(_ID, chain.from_iterable(found)))
+        self.update(zip(words, range(code, code + len(words))))
+        marked = [(word, marks) for word, marks in usual if marks]
+        code = len(start) - 1
+        for word, marks in marked:
+            known = self.bare.get(marks)
+            if known is None:
+                known = self.bare[marks] = array("i", self.encoded("", marks))
+            of_word = self[word]
+            ids.extend(ids[start[of_word] : start[of_word + 1]])
+            ids.extend(known)
+            start.append(len(ids))
+        self.update(zip(map("".join, marked), range(code, code + len(marked))))
+
     def encoded(self, lead: str, piece: str) -> Iterator[int]:
         """Ids of a piece that the tokenizer does not split."""
         letters = lead + piece if piece.isascii() and piece != "\n" else lead + "".join(map(_LETTERS.__getitem__, piece))
@@ -147,7 +166,12 @@ class Segments(dict):
         lists = pc.split_pattern(cuts, " ")
         begin, values = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         place, different = values.indices.to_numpy(), values.dictionary.to_numpy(zero_copy_only=False)
-        codes = np.fromiter(map(self.__getitem__, different), np.int64, len(different))[place]
+        known = [*map(self.get, different)]
+        new = [segment for segment, code in zip(different, known) if code is None]
+        for low in range(0, len(new), LEARNED_SEGMENTS):
+            self.learn(new[low : low + LEARNED_SEGMENTS])
+        rest = map(self.__getitem__, new)
+        codes = np.fromiter((next(rest) if code is None else code for code in known), np.int64, len(known))[place]
         for i in np.flatnonzero(~follows):  # a text's first segment follows no space
             segment = different[place[begin[i]]]
             code = self.first.get(segment)
