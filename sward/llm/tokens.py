@@ -20,7 +20,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain, islice
+from itertools import accumulate, chain, islice, repeat
 from operator import attrgetter
 
 import numpy as np
@@ -39,11 +39,11 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 700_000
+KEPT_SEGMENTS = 600_000
 KEPT_IDS = 16_000_000
 # Characters of a text encoded in one piece, bytes cut into segments at a time, and segments whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 10 << 20
+BATCH_BYTES = 8 << 20
 EXPANDED_CODES = 600_000
 # New segments whose words are tokenized together.
 LEARNED_SEGMENTS = 5_000
@@ -166,12 +166,13 @@ class Segments(dict):
         lists = pc.split_pattern(cuts, " ")
         begin, values = lists.offsets.to_numpy(), lists.values.dictionary_encode()
         place, different = values.indices.to_numpy(), values.dictionary.to_numpy(zero_copy_only=False)
-        known = [*map(self.get, different)]
-        new = [segment for segment, code in zip(different, known) if code is None]
+        known = np.fromiter(map(self.get, different, repeat(-2)), np.int64, len(different))
+        absent = np.flatnonzero(known == -2)
+        new = different[absent].tolist()
         for low in range(0, len(new), LEARNED_SEGMENTS):
             self.learn(new[low : low + LEARNED_SEGMENTS])
-        rest = map(self.__getitem__, new)
-        codes = np.fromiter((next(rest) if code is None else code for code in known), np.int64, len(known))[place]
+        known[absent] = np.fromiter(map(self.__getitem__, new), np.int64, len(new))
+        codes = known[place]
         for i in np.flatnonzero(~follows):  # a text's first segment follows no space
             segment = different[place[begin[i]]]
             code = self.first.get(segment)
