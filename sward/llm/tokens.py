@@ -39,11 +39,11 @@ PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
 # A worker forgets its segments beyond these numbers of segments and ids.
-KEPT_SEGMENTS = 600_000
+KEPT_SEGMENTS = 400_000
 KEPT_IDS = 16_000_000
 # Characters of a text encoded in one piece, bytes cut into segments at a time, and segments whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 EXPANDED_CODES = 600_000
 # New segments whose words are tokenized together.
 LEARNED_SEGMENTS = 5_000
@@ -260,6 +260,7 @@ def _encoder(tokenizer_path: str, end_id: int):
                 )
                 place += int(stops[-1])
                 first += rows
+            pa.default_memory_pool().release_unused()  # the JVM shares the executor's memory
 
     return encode
 
