@@ -11,7 +11,9 @@ from sward.operators import mixed_outputs
 from sward.operators.describe import five_numbers, histogram, normal_qq
 from sward.operators.design import design_matrix, factorial
 from sward.operators.margins import back_transform, contrasts, reference_grid, year_steps
-from sward.operators.mixed import Evaluator, fit_designs, group_sums, model_at, solve, submodels_at
+from sward.operators.mixed import (
+    Evaluator, estimable, fit_designs, group_sums, model_at, solve, submodels_at,
+)
 from sward.operators.panel import eligible_series
 from sward.operators.report import tidy_anova, tidy_coefficients
 from sward.plans import decay
@@ -226,8 +228,8 @@ def back_transformed_band(spark, sf_dir):
 def full_model_coefficients(spark, sf_dir):
     _, known = frames(spark, sf_dir)
     sums = group_sums(known, "rank_logit", decay.full_design(), KEYS)
-    model = fit_designs(sums, [sums.design])[0]
-    return tidy_coefficients(mixed_outputs.coefficient_table(spark, model))
+    model = fit_designs(sums, [estimable(sums)])[0]
+    return tidy_coefficients(mixed_outputs.coefficient_table(spark, model, sums.design))
 
 
 @query("predictor_family_aic", "LM4", "LM5", "SC6", "WN14")

@@ -634,6 +634,45 @@ def fit_designs(
     ]
 
 
+def estimable(sums: GroupSums, design: Design | None = None) -> Design:
+    """The design without columns that are sums of multiples of those before them.
+
+    Such a column, for example a predictor with one value in all rows, adds nothing to the model and
+    has no coefficient of its own. The columns kept span the design, so likelihood and fitted values
+    are those of the whole.
+    """
+    design = design or sums.design
+    position = {name: i for i, name in enumerate(sums.design.names)}
+    index = [position[name] for name in design.names]
+    at = _intercept(design)
+    if at is None:
+        kept = set(first_independent(sums.gram[np.ix_(index, index)]))
+    else:
+        # beside an intercept, a column counts by its spread; whether it has any is told exactly
+        varies = sums.inner.agg(*[F.expr(f"min(lo{i}) < max(hi{i}) as v{i}") for i in index]).first()
+        free = [k for k, i in enumerate(index) if k != at and varies[f"v{i}"]]
+        part = [index[k] for k in free]
+        kept = {at, *(free[k] for k in first_independent(sums.centred[np.ix_(part, part)]))}
+    return Design(tuple(e for k, e in enumerate(design.effects) if k in kept), design.factors)
+
+
+def first_independent(gram: np.ndarray, tolerance: float = 1e-10) -> list[int]:
+    """Positions of columns that do not depend on earlier ones, from their cross-products.
+
+    Cholesky in the given order: a column is passed over when what earlier ones leave of it, as a
+    share of its own square sum, is below ``tolerance``.
+    """
+    scale = np.sqrt(np.diag(gram))
+    scale = np.where(scale > 0.0, scale, 1.0)
+    rest = gram / np.outer(scale, scale)
+    taken = []
+    for i in range(len(gram)):
+        if rest[i, i] > tolerance:
+            rest = rest - np.outer(rest[:, i], rest[i]) / rest[i, i]
+            taken.append(i)
+    return taken
+
+
 def _model(
     sums: GroupSums,
     design: Design,

@@ -17,14 +17,24 @@ from sward.operators.mixed import GroupSums, MixedModel, _intercept, fit_designs
 from sward.scale import join_on
 
 
-def coefficient_table(spark: SparkSession, model: MixedModel) -> DataFrame:
-    """Estimate, standard error, degrees of freedom, t and p for each effect."""
+def coefficient_table(
+    spark: SparkSession, model: MixedModel, design: Design | None = None
+) -> DataFrame:
+    """Estimate, standard error, degrees of freedom, t and p for each effect.
+
+    With ``design`` its effects that the model lacks (see ``estimable``) have rows of nulls.
+    """
+    place = {name: i for i, name in enumerate(model.design.names)}
     rows = []
-    for i, name in enumerate(model.design.names):
+    for position, name in enumerate((design or model.design).names, 1):
+        if name not in place:
+            rows.append((position, name, None, None, None, None, None))
+            continue
+        i = place[name]
         value, error = float(model.beta[i]), math.sqrt(model.cov[i, i])
         t = value / error
         rows.append(
-            (i + 1, name, value, error, float(model.df[i]), t, t_two_sided(t, float(model.df[i])))
+            (position, name, value, error, float(model.df[i]), t, t_two_sided(t, float(model.df[i])))
         )
     schema = (
         "position int, Effect string, Value double, `Std.Error` double, DF double, "

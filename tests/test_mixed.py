@@ -359,3 +359,19 @@ def test_contrasts_carry_adjusted_p_values(fitted):
         assert row["p_single"] == pytest.approx(t_two_sided(t, row["df"]))
         assert row["p_value"] == pytest.approx(studentised_range_upper(t * math.sqrt(2), 4, row["df"]))
         assert row["p_single"] <= row["p_value"] <= min(1.0, 6.0 * row["p_single"]) + 1e-9
+
+
+def test_columns_without_spread_have_no_coefficient(spark):
+    frame = make_rows(8)
+    frame["same"] = 0.1
+    df = spark.createDataFrame(frame)
+    plain, wide = factorial([["year"], ["rain"]]), factorial([["same", "year"], ["rain"]])
+    sums = mixed.group_sums(df, "y", wide, GROUPS)
+    kept = mixed.estimable(sums)
+    assert kept.names == ["(Intercept)", "year", "rain"]
+    model = mixed.fit_designs(sums, [kept])[0]
+    want = mixed.fit_nested_lmm(df, "y", plain, GROUPS)
+    np.testing.assert_allclose(model.beta, want.beta, rtol=1e-5)
+    assert model.aic() == pytest.approx(want.aic(), abs=1e-4)
+    table = mixed_outputs.coefficient_table(spark, model, wide).toPandas().set_index("Effect")
+    assert list(table.index) == wide.names and list(table.index[table["Value"].isna()]) == ["same", "same:year"]
