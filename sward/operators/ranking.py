@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.operators.joins import first_per_key, keep_matching
-from sward.scale import RUN_ROWS, descending_rank, join_on, join_totals
+from sward.scale import (
+    RUN_ROWS, descending_rank, join_on, join_totals, rank_levels, rank_whole, split_by_size,
+)
+from sward.session import pin
 
 
 def with_group_max(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
@@ -54,9 +57,16 @@ def with_rank_percentile(
     Adds ``rel_cover``, ``rank``, ``rich`` and ``perc_rank``; the percentile is 1
     for the top row and 1/rich for the last.
     """
-    totals = join_totals(df, by, __total=F.sum(value), rich=F.count(F.lit(1)))
-    sized = totals.withColumn("rel_cover", F.try_divide(F.col(value), F.col("__total"))).drop("__total")
-    ranked = descending_rank(sized, by, "rel_cover", "rank", run_rows)
+    rows = pin(df)
+    totals = rows.groupBy(*by).agg(F.sum(value).alias("__total"), F.count(F.lit(1)).alias("rich"))
+
+    def sized(part: DataFrame) -> DataFrame:
+        share = F.try_divide(F.col(value), F.col("__total"))
+        return join_on(part, totals, by, "left").withColumn("rel_cover", share).drop("__total")
+
+    small, large = split_by_size(rows, by, run_rows)
+    whole = rank_whole(sized(small), by, "rel_cover", "rank")
+    ranked = whole.unionByName(rank_levels(pin(sized(large)), by, "rel_cover", "rank"))
     return ranked.withColumn("perc_rank", rank_percentile(F.col("rank"), F.col("rich")))
 
 

@@ -103,23 +103,64 @@ def with_runs(df: DataFrame, by: Sequence[str], value: str, run_rows: int = RUN_
     return placed.withColumns({"__run": run, "__salt": salt}).drop("__splitters", "__above")
 
 
+def split_by_size(
+    rows: DataFrame, by: Sequence[str], run_rows: int = RUN_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups that one task may sort, and rows of the others.
+
+    About one row in ``run_rows`` is drawn; its group counts as large. ``rows`` must be a stored table.
+    """
+    large = pin(rows.filter(F.rand(1) < 1.0 / run_rows).select(*by).distinct())
+    renamed = large.withColumnsRenamed({key: f"__r_{key}" for key in by})
+    match = F.lit(True)
+    for key in by:
+        match = match & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
+    return rows.join(renamed, match, "left_anti"), rows.join(renamed, match, "left_semi")
+
+
+def rank_whole(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rank of groups that one task may sort; rows without a value are dealt over ``__salt``."""
+    known = F.col(value).isNotNull()
+    salt = F.when(known, F.lit(0)).otherwise(F.pmod(F.spark_partition_id(), F.lit(TIE_TASKS)))
+    dealt = df.withColumns({"__run": F.when(known, F.lit(0)), "__salt": salt})
+    rank = F.rank().over(Window.partitionBy(*by, "__run", "__salt").orderBy(F.col(value).desc_nulls_last()))
+    return dealt.withColumn(out, F.when(known, rank.cast("long"))).drop("__run", "__salt")
+
+
+def rank_levels(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rank of groups of any size: one plus the rows with larger values, counted by value.
+
+    The different values of a group are dealt by range, so a range is a run of the group's order; running
+    counts inside runs are shifted by those of the runs before, and every row finds its value's rank by a
+    join, which adaptive execution splits where one value has very many rows. ``df`` must be a stored table.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    levels = pin(
+        counted.repartitionByRange(*by, F.col(value).desc()).withColumn("__run", F.spark_partition_id())
+    )
+    earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "__run").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = levels.groupBy(*by, "__run").agg(F.sum("__n").alias("__n")).select(
+        *by, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
+    )
+    above = levels.withColumn("__above", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    placed = join_on(above, offsets, [*by, "__run"], "left")
+    ranks = placed.select(*by, value, (F.lit(1) + F.col("__above") + F.col("__offset")).cast("long").alias(out))
+    return join_on(df, ranks, [*by, value], "left")
+
+
 def descending_rank(
     df: DataFrame, by: Sequence[str], value: str, out: str, run_rows: int = RUN_ROWS
 ) -> DataFrame:
     """Competition rank by ``value``, largest first, as ``out``; null for a null value.
 
-    The rank inside a run is shifted by the rows of the group's earlier runs, so no task holds more
-    than a run. The rows are stored once, since three branches read them.
+    A group that one task may sort is ranked there; of larger groups the different values are counted and
+    ranked in runs. The rows are stored once, since several branches read them.
     """
-    rows = pin(df)
-    runs = with_runs(rows, by, value, run_rows)
-    earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    counts = runs.filter(F.col("__run").isNotNull()).groupBy(*by, "__run").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*by, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
-    inside = F.rank().over(Window.partitionBy(*by, "__run", "__salt").orderBy(F.col(value).desc_nulls_last()))
-    ranked = join_on(runs.withColumn("__inside", inside), offsets, [*by, "__run"], "left")
-    rank = F.when(F.col(value).isNotNull(), F.col("__inside") + F.col("__offset"))
-    return ranked.withColumn(out, rank.cast("long")).drop("__run", "__salt", "__inside", "__offset")
+    small, large = split_by_size(pin(df), by, run_rows)
+    columns = [*df.columns, out]
+    whole = rank_whole(small, by, value, out).select(*columns)
+    return whole.unionByName(rank_levels(large, by, value, out).select(*columns))
 
 
 def order_statistics(
