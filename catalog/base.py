@@ -168,9 +168,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pinned ranked table, cohort, completed panel)."""
+    """(pinned ranked table, pinned cohort, completed panel)."""
     base = pin(ranked(spark, sf_dir))
-    cohort = baseline_cohort(base)
+    cohort = pin(baseline_cohort(base))
     last = base.groupBy("site_code").agg(F.max("year_trt").alias("max_year"))
     keys = ["site_code", "plot", "Taxon"]
     series = left_lookup(
@@ -178,8 +178,10 @@ def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
         base.select(*keys, "cover", "max_cover", "rank", "perc_rank", "year_trt"),
         keys,
     )
+    # read twice below; a few rows a plot, while the ranked table has them all
+    series = pin(join_on(series, last, ["site_code"], "left"))
     filled = complete_panel(
-        join_on(series, last, ["site_code"], "left"),
+        series,
         ["site_code", "plot"], ["Taxon"], "year_trt", "max_year",
         {"cover": 0.0, "max_cover": 0.0, "perc_rank": 0.0},
     )
@@ -199,7 +201,7 @@ def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site_code", "plot", "trt", "Taxon", "local_provenance", "local_lifespan",
         "functional_group", "avgCover",
     )
-    meta = plot_meta(spark, sf_dir)
+    meta = pin(plot_meta(spark, sf_dir))
     climate = meta.select("site_code", "MAP_v2", "MAP_VAR_v2", "MAT_v2").distinct()
     mass = meta.filter(F.col("year_trt") == 0).select(
         "site_code", "plot", F.col("vascular_live_mass").alias("initial_live_mass"),

@@ -378,3 +378,40 @@ def test_join_without_keys_fails_on_two_rows(spark):
     assert [r["v"] for r in join_on(left, one, [], "left").collect()] == [7, 7, 7]
     with pytest.raises(Exception, match="needs one row at most"):
         join_on(left, spark.createDataFrame([(1,), (2,)], "v long"), [], "left").collect()
+
+
+def test_rank_percentile_computes_its_input_once_and_ranks_without_splitters(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    got = ranking.with_rank_percentile(df.mapInPandas(count, df.schema), ["g"], "x")
+    assert got.count() == 100 and got.filter("rank = 1").count() == 3
+    assert seen.value == 100
+    # a row that carried its group's splitters grew with the group
+    plan = ranking.with_rank(df, ["g"], "x", run_rows=10)._jdf.queryExecution().analyzed().toString()
+    assert "splitters" not in plan
+
+
+def test_panel_and_persistence_table_compute_shared_rows_once(spark, monkeypatch):
+    from catalog import base, persistence
+
+    names = "site_code string, plot long, Taxon string, year_trt long, cover double, max_cover double, rank long, perc_rank double"
+    small = [("s", 1, t, y, 0.5, c, 1, 1.0 - y / 10) for t, c in (("a", 9.0), ("b", 4.0)) for y in (0, 2)]
+    monkeypatch.setattr(base, "ranked", lambda *_: spark.createDataFrame(small, names))
+    ranked, cohort, filled = base.panel(spark, "")
+    assert rows(filled, "Taxon", "year_trt", "cover") == [("a", 0, 0.5), ("a", 1, 0.0), ("a", 2, 0.5)]
+    assert filled._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    calls = []
+
+    def followed(*_):
+        calls.append(1)
+        data = [("s", trt, "Annual", y, 1.0 - y / 10) for trt in ("Control", "NPK", "Fence", "NPK+Fence") for y in range(3)]
+        return spark.createDataFrame(data, "site_code string, trt string, local_lifespan string, year_trt long, perc_rank double")
+
+    monkeypatch.setattr(persistence, "followed", followed)
+    assert persistence.stacked_persistence_table(spark, "").count() == 2 and len(calls) == 1
