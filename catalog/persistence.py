@@ -25,7 +25,11 @@ def observed_curve(rows, by):
 
 
 def times(spark, sf_dir, by):
-    rows = pin(followed(spark, sf_dir))
+    return times_of(pin(followed(spark, sf_dir)), by)
+
+
+def times_of(rows, by):
+    """Crossing times of the curves of ``rows``, a stored table."""
     cutoff = rows.agg(mean_where(F.col("year_trt") != 0, F.col("perc_rank")).alias("cutoff"))
     curve = join_on(observed_curve(rows, by), cutoff, [], "left")
     return crossing_times(curve, by, "year_trt", F.col("cutoff"))
@@ -93,8 +97,9 @@ select Predictor, max(case when trt = 'Control' then cast(mean_time as varchar)
   max(case when trt = 'NPK+Fence' then cast(mean_time as varchar) end) as "NPK+Fence"
 from t group by Predictor""")
 def stacked_persistence_table(spark, sf_dir):
-    average = times(spark, sf_dir, ["trt"]).withColumn("Predictor", F.lit("Average"))
-    lifespan = times(spark, sf_dir, ["local_lifespan", "trt"]).withColumnRenamed(
+    followed_rows = pin(followed(spark, sf_dir))
+    average = times_of(followed_rows, ["trt"]).withColumn("Predictor", F.lit("Average"))
+    lifespan = times_of(followed_rows, ["local_lifespan", "trt"]).withColumnRenamed(
         "local_lifespan", "Predictor"
     )
     tables = [
