@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from sward.functions.distributions import f_upper, t_two_sided
 from sward.operators.design import INTERCEPT, Design
-from sward.operators.mixed import GroupSums, MixedModel, _intercept, fit_designs, term_df
+from sward.operators.mixed import (
+    GroupSums, MixedModel, _intercept, estimable, fit_designs, term_df,
+)
 from sward.scale import join_on
 
 
@@ -85,10 +87,11 @@ def drop_family_table(
     """AIC of the full model and of the model without each predictor family.
 
     ``families`` maps a report label to the predictor that is dropped with all its
-    interactions. All fits share the collected sums and every round of trials.
+    interactions. All fits share the collected sums and every round of trials. Columns
+    that depend on earlier ones are left out of each and count for no parameter.
     """
     designs = [sums.design, *[sums.design.without(name) for name in families.values()]]
-    models = fit_designs(sums, designs, method)
+    models = fit_designs(sums, [estimable(sums, design) for design in designs], method)
     return aic_table(spark, dict(zip(["Full Model", *families], models)))
 
 

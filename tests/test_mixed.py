@@ -375,3 +375,5 @@ def test_columns_without_spread_have_no_coefficient(spark):
     assert model.aic() == pytest.approx(want.aic(), abs=1e-4)
     table = mixed_outputs.coefficient_table(spark, model, wide).toPandas().set_index("Effect")
     assert list(table.index) == wide.names and list(table.index[table["Value"].isna()]) == ["same", "same:year"]
+    aic = mixed_outputs.drop_family_table(spark, sums, {"Same": "same", "Rain": "rain"}).toPandas()
+    assert aic["deltaAIC"][1] == 0.0 and aic["deltaAIC"][2] != 0.0
