@@ -1,7 +1,7 @@
 """Relative cover, ranks, richness and leading taxa.
 
-Group totals are aggregated and joined back. Ranks are taken inside runs of a group that
-sampled values bound, and shifted by the rows of earlier runs; no task holds a group.
+Group totals are aggregated and joined back. A task ranks small groups only; ranks of large ones
+come from running counts of their different values.
 """
 
 from __future__ import annotations

@@ -1,10 +1,9 @@
 """Group totals, ranks and order statistics that survive groups of any size.
 
 A window over a group needs the whole group in one task. Totals are therefore aggregated
-and joined back; ranks are taken inside runs of a group that sampled splitters bound
-(``with_runs``) and shifted by the counts of the runs before; quantiles are bracketed by a
-mergeable summary and read off the bracketed values alone (``order_statistics``). The same plan
-serves every size: a group without splitters is one run, a short one its own bracket.
+and joined back; ranks of large groups come from counts by value, dealt by range and summed up
+(``rank_levels``); quantiles are bracketed by a mergeable summary and read off the bracketed values
+alone (``order_statistics``). The same plan serves every size.
 """
 
 from __future__ import annotations
