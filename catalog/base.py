@@ -26,6 +26,8 @@ SQL: dict[str, str] = {}
 OPERATORS: dict[str, tuple[str, ...]] = {}
 
 KEY = ["site_code", "year_trt", "plot", "Taxon"]
+# The plot first: numbers are sorted faster than names with one beginning.
+PLOT_YEAR = ["plot", "year_trt", "site_code"]
 # Unique per survey row at every scale.
 TIE_ORDER = ["ok", "ln", "pk", "date"]
 
@@ -159,17 +161,25 @@ def cover_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_one(clean(spark, sf_dir), KEY, "max_cover", [F.col(c) for c in TIE_ORDER])
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relative cover, rank, richness and rank percentile per plot-year."""
-    rows = with_rank_percentile(
-        cover_max(spark, sf_dir), ["site_code", "year_trt", "plot"], "max_cover"
-    )
-    return rows.withColumn("cover", F.col("rel_cover")).filter(F.col("year_trt") >= 0)
+def ranked(spark: SparkSession, sf_dir: str, covers_only: bool = False) -> DataFrame:
+    """Relative cover, rank, richness and rank percentile per plot-year.
+
+    With ``covers_only`` the rows have no other columns of the survey: the largest cover is an aggregate.
+    """
+    # a plot-year is ranked by itself: years that are not asked for are left out before
+    if covers_only:
+        rows = clean(spark, sf_dir).filter(F.col("year_trt") >= 0)
+        rows = rows.groupBy(*PLOT_YEAR, "Taxon").agg(F.max("max_cover").alias("max_cover"))
+    else:
+        rows = cover_max(spark, sf_dir).filter(F.col("year_trt") >= 0)
+    # every cover is known, so no rows need be dealt
+    rows = with_rank_percentile(rows, PLOT_YEAR, "max_cover", dealt=False)
+    return rows.withColumn("cover", F.col("rel_cover"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pinned ranked table, pinned cohort, completed panel)."""
-    base = pin(ranked(spark, sf_dir))
+    """(pinned ranks of covers, pinned cohort, completed panel)."""
+    base = pin(ranked(spark, sf_dir, True).select(*KEY, "cover", "max_cover", "rank", "perc_rank"))
     cohort = pin(baseline_cohort(base))
     last = base.groupBy("site_code").agg(F.max("year_trt").alias("max_year"))
     keys = ["site_code", "plot", "Taxon"]
@@ -197,9 +207,13 @@ def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
         start.select("site_code", "Taxon").distinct().groupBy("site_code")
         .agg(F.count(F.lit(1)).alias("site_rich_0"))
     )
-    traits = with_group_mean(start, ["site_code", "Taxon"], "cover", "avgCover").select(
-        "site_code", "plot", "trt", "Taxon", "local_provenance", "local_lifespan",
-        "functional_group", "avgCover",
+    means = with_group_mean(start, ["site_code", "Taxon"], "cover", "avgCover").select(
+        "site_code", "plot", "Taxon", "avgCover"
+    )
+    order = [F.col(c) for c in TIE_ORDER]
+    first = clean(spark, sf_dir).filter(F.col("year_trt") == 0)
+    traits = top_one(first, KEY, "max_cover", order).select(
+        "site_code", "plot", "trt", "Taxon", "local_provenance", "local_lifespan", "functional_group"
     )
     meta = pin(plot_meta(spark, sf_dir))
     climate = meta.select("site_code", "MAP_v2", "MAP_VAR_v2", "MAT_v2").distinct()
@@ -209,7 +223,7 @@ def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     keys = ["site_code", "plot", "Taxon"]
     joined = join_on(cohort, kept.drop("rank", "max_year"), keys, "left")
-    joined = join_on(joined, traits, keys, "left")
+    joined = join_on(join_on(joined, traits, keys, "left"), means, keys, "left")
     for side, on in ((climate, ["site_code"]), (mass, ["site_code", "plot"]),
                      (richness, ["site_code"])):
         joined = join_on(joined, side, on, "left")

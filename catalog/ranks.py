@@ -73,8 +73,8 @@ def plot_richness(spark, sf_dir):
 select site_code, year_trt, plot, Taxon, round(rel_cover, 6) as rel_cover, rank, rich,
   round(perc_rank, 6) as perc_rank from ranked""")
 def rank_percentile(spark, sf_dir):
-    rows = with_rank_percentile(cover_max(spark, sf_dir), PLOT_YEAR, "max_cover")
-    return rows.filter("year_trt >= 0").select(*KEY, "rel_cover", "rank", "rich", "perc_rank")
+    rows = with_rank_percentile(cover_max(spark, sf_dir).filter("year_trt >= 0"), PLOT_YEAR, "max_cover", dealt=False)
+    return rows.select(*KEY, "rel_cover", "rank", "rich", "perc_rank")
 
 
 @query("distinct_plots", "WN6", sql="""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sward.operators.joins import first_per_key, keep_matching
@@ -50,22 +50,31 @@ def with_rank(
 
 
 def with_rank_percentile(
-    df: DataFrame, by: Sequence[str], value: str, run_rows: int = RUN_ROWS
+    df: DataFrame, by: Sequence[str], value: str, run_rows: int = RUN_ROWS, dealt: bool = True
 ) -> DataFrame:
     """Share of total, its rank, richness and rank percentile within the group.
 
     Adds ``rel_cover``, ``rank``, ``rich`` and ``perc_rank``; the percentile is 1
-    for the top row and 1/rich for the last.
+    for the top row and 1/rich for the last. Without ``dealt``, rows that have no value stay with their
+    group, and a group that one task may sort gets its total, size and ranks after one shuffle.
     """
     rows = pin(df)
-    totals = rows.groupBy(*by).agg(F.sum(value).alias("__total"), F.count(F.lit(1)).alias("rich"))
+    small, large = split_by_size(rows, by, run_rows)
+    joined = rows if dealt else large
+    totals = joined.groupBy(*by).agg(F.sum(value).alias("__total"), F.count(F.lit(1)).alias("rich"))
 
     def sized(part: DataFrame) -> DataFrame:
         share = F.try_divide(F.col(value), F.col("__total"))
         return join_on(part, totals, by, "left").withColumn("rel_cover", share).drop("__total")
 
-    small, large = split_by_size(rows, by, run_rows)
-    whole = rank_whole(sized(small), by, "rel_cover", "rank")
+    def ranked_whole(part: DataFrame) -> DataFrame:
+        group = Window.partitionBy(*by)
+        rank = F.rank().over(group.orderBy(F.col("rel_cover").desc_nulls_last())).cast("long")
+        share = F.try_divide(F.col(value), F.sum(value).over(group))
+        shared = part.withColumns({"rich": F.count(F.lit(1)).over(group), "rel_cover": share})
+        return shared.withColumn("rank", F.when(F.col("rel_cover").isNotNull(), rank))
+
+    whole = rank_whole(sized(small), by, "rel_cover", "rank") if dealt else ranked_whole(small)
     ranked = whole.unionByName(rank_levels(pin(sized(large)), by, "rel_cover", "rank"))
     return ranked.withColumn("perc_rank", rank_percentile(F.col("rank"), F.col("rich")))
 

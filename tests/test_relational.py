@@ -415,3 +415,46 @@ def test_panel_and_persistence_table_compute_shared_rows_once(spark, monkeypatch
 
     monkeypatch.setattr(persistence, "followed", followed)
     assert persistence.stacked_persistence_table(spark, "").count() == 2 and len(calls) == 1
+
+
+def test_rank_percentile_without_dealing_equals_the_dealt_one(spark):
+    data = [(g, t, None if i % 11 == 0 else float(i % 5)) for t in range(3) for g in ("a", "b", None) for i in range(40)]
+    data += [("zero", 0, 0.0), ("zero", 0, None), ("large", 0, 1.0)] + [("large", 0, float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(data, "g string, t int, x double")
+    columns = ["g", "t", "x", "rich", "rel_cover", "rank", "perc_rank"]
+    for run_rows in (1_000_000, 50):
+        dealt, whole = (ranking.with_rank_percentile(df, ["t", "g"], "x", run_rows, way) for way in (True, False))
+        assert dealt.columns == whole.columns and sorted(columns) == sorted(whole.columns)
+        assert rows(whole, *columns) == rows(dealt, *columns)
+
+
+def test_panel_stores_covers_of_its_years_alone(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from catalog import base
+
+    tables = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "N", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(1, 0), (2, 0)], "s_suppkey long, s_nationkey int"),
+        "part": ([(1, "Brand#1", "LARGE"), (2, "Brand#2", "PROMO"), (3, None, "SMALL"), (4, None, "LARGE")],
+                 "p_partkey long, p_brand string, p_type string"),
+        "lineitem": (
+            [(o, p, s, 1, q, 0.1, "N", datetime(y, 5, 1)) for o, p, s, q, y in (
+                (1, 1, 1, 9.0, 1994), (2, 1, 1, 4.0, 1995), (3, 1, 1, 8.0, 1995), (4, 2, 1, 2.0, 1995), (5, 1, 1, 3.0, 1996),
+                (6, 4, 2, 5.0, 1995), (7, 3, 2, 5.0, 1995), (8, 2, 2, 1.0, 1996), (9, None, 1, 7.0, 1995))],
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_shipdate timestamp",
+        ),
+    }
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    stored, pin = [], ranking.pin
+    monkeypatch.setattr(ranking, "pin", lambda df: stored.append(pin(df)) or stored[-1])
+    got = base.followed(spark, str(tmp_path))
+    # two rows without a name share a plot: the first one in order gives the traits
+    assert rows(got, "plot", "Taxon", "year_trt", "max_cover", "func_simple", "local_lifespan", "avgCover") == sorted([
+        (1, "Brand#1/LARGE", 0, 8.0, "Graminoid", "Perennial", 0.8), (1, "Brand#1/LARGE", 1, 3.0, "Graminoid", "Perennial", 0.8),
+        (2, None, 0, 5.0, "Graminoid", "Perennial", 1.0), (2, None, 1, 0.0, "Graminoid", "Perennial", 1.0),
+    ], key=str)
+    assert set(stored[0].columns) == {*base.KEY, "max_cover"}
+    assert stored[0].filter("year_trt < 0").count() == 0
