@@ -25,6 +25,8 @@ SAMPLE_ROWS = 6000
 EPOCHS = 6
 # FTRL-proximal: learning rate, smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.002, 0.02
+# Bytes of text whose n-grams a task holds at a time: they take some hundred times that room.
+SLICE_BYTES = 256 << 10
 # What a family's n-grams of one text weigh together.
 MASS = 4.0
 
@@ -83,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, sa
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, text in text_slices(batch):
+            for low, high, text in text_slices(batch, size=SLICE_BYTES):
                 index, row, value = features(text)
                 key, back = np.unique(row.astype(np.int64) << BITS | index, return_inverse=True)
                 total = np.bincount(back, weights=value, minlength=len(key))
@@ -119,7 +121,7 @@ def with_score(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value.astype(np.float64)
         for batch in batches:
-            for low, high, text in text_slices(batch):
+            for low, high, text in text_slices(batch, size=SLICE_BYTES):
                 index, row, value = features(text)
                 score = sigmoid(np.bincount(row, weights=w[index] * value, minlength=text.rows) + w[-1])
                 part = batch.slice(low, high - low)

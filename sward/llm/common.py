@@ -112,15 +112,15 @@ class Text:
         return start, stop, np.searchsorted(self.offsets, start, "right") - 1
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int, Text]]:
-    """(first row, end row, texts) for runs of rows of about ``SLICE_BYTES``; null counts as empty."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Text]]:
+    """(first row, end row, texts) for runs of rows of about ``size`` bytes; null counts as empty."""
     values = batch.column(column).cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset :][: len(values) + 1] if len(values) else np.zeros(1, np.int64)
     held = values.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
     low = 0
     while low < len(values):
-        high = int(np.searchsorted(offsets, offsets[low] + SLICE_BYTES, "right")) - 1
+        high = int(np.searchsorted(offsets, offsets[low] + size, "right")) - 1
         high = min(max(high, low + 1), len(values))
         yield low, high, Text(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
         low = high

@@ -110,3 +110,31 @@ def test_leaks_of_items_with_text_ids(spark, docs):
     items = spark.createDataFrame([("b10", LEAK), ("b9", LEAK), ("c", None)], "item_id string, text string")
     row = find_leaks(docs, items).filter(F.col("doc_id") == 6).first()
     assert row["items"] == ["b10", "b9"] and row["n_items"] == 2 and row["contaminated"]
+
+
+def test_quality_classifier_holds_little_beside_its_texts():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sward.llm import classifier
+    from sward.llm.common import text_slices
+
+    words = "word %d, other %d. More words here; " * 8
+    batch = pa.RecordBatch.from_arrays([pa.array([words % tuple(range(i, i + 16)) for i in range(6000)])], names=["text"])
+
+    def scores(**slices):
+        out = []
+        for _, _, text in text_slices(batch, **slices):
+            index, row, value = classifier.features(text)
+            out.append(np.bincount(row, weights=value * np.sin(index), minlength=text.rows))
+        return np.concatenate(out)
+
+    whole = scores()
+    tracemalloc.start()
+    cut = scores(size=classifier.SLICE_BYTES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(whole, cut)  # a score depends on its text alone, to the last bit
+    assert peak < 64e6  # slices of 2 MB take 122 MB
