@@ -37,15 +37,16 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
 ENCODINGS = ("dictionary", "delta")
-# A worker keeps the ids of so many pieces, with so many ids in all, at most.
+# A worker keeps the ids of about so many pieces, with so many ids in all, and of none of more bytes.
 KEPT_SEGMENTS = 400_000
 KEPT_IDS = 16_000_000
+KEPT_BYTES = 256
 # Bytes above which a text is cut, bytes cut into pieces at a time, and pieces whose ids go out at a time.
 CUT_CHARS = 1 << 20
 BATCH_BYTES = 4 << 20
 EXPANDED_CODES = 600_000
 # New pieces whose tokens are held together.
-LEARNED_SEGMENTS = 5_000
+LEARNED_SEGMENTS = 1_000
 
 _ID = attrgetter("id")
 # The fixed byte alphabet of byte-level vocabularies: printable bytes stand for themselves, others for code points from 256.
@@ -55,17 +56,16 @@ _ALPHABET = "".join(_BYTES[byte] for byte in range(256))
 
 # Kinds of bytes whose runs every version of the tokenizer's split keeps together and parts from each other. The letters are
 # those from U+00C0 to U+027F (first bytes C3 to C9) but for two signs; all else, and the apostrophe, is odd.
-_ODD, _LETTER, _DIGIT, _MARK, _NEWLINE, _SPACE = range(6)
-_KINDS = np.full(256, _ODD, np.uint8)
-_KINDS[33:127] = _MARK
-_KINDS[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
-_KINDS[48:58] = _DIGIT
-_KINDS[[10, 32, 39]] = _NEWLINE, _SPACE, _ODD
-_WHITE = np.zeros(256, bool)
-_WHITE[[*range(9, 14), *range(28, 33)]] = True
-# First bytes of the two signs among the letters and of white space beyond ASCII.
-_CHECKED = np.zeros(256, bool)
-_CHECKED[[0xC2, 0xC3, 0xE1, 0xE2, 0xE3]] = True
+_ODD, _LETTER, _DIGIT, _MARK, _NEWLINE, _SPACE, _BLANK = range(7)
+_kinds = np.full(256, _ODD, np.uint8)
+_kinds[33:127] = _MARK
+_kinds[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_kinds[48:58] = _DIGIT
+_kinds[[9, 11, 12, 13, 28, 29, 30, 31]] = _BLANK
+_kinds[[10, 32, 39]] = _NEWLINE, _SPACE, _ODD
+_KINDS = _kinds.tobytes()
+# First bytes of white space beyond ASCII, and this white space.
+_WIDE = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 _WIDE_WHITE = np.array([int.from_bytes(c.encode()) for c in map(chr, range(128, 1 << 16)) if c.isspace()])
 # A space between two characters of which neither can be white space.
 _CUT = re.compile(
@@ -81,26 +81,31 @@ def _pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     follows, so texts are cut before each such space. A part without odd bytes or neighbouring white space is
     cut on where the tokenizer splits it; any other part is one odd piece.
     """
-    kinds, white = _KINDS[data], _WHITE[data]
-    checked = np.flatnonzero(_CHECKED[data])
-    if len(checked):
-        last = len(data) - 1
-        two = data[checked].astype(np.int64) << 8 | data[np.minimum(checked + 1, last)]
-        kinds[checked[(two == 0xC397) | (two == 0xC3B7)]] = _ODD
-        three = two << 8 | data[np.minimum(checked + 2, last)]
-        for found, width in ((np.isin(two, _WIDE_WHITE), 2), (np.isin(three, _WIDE_WHITE), 3)):
-            for i in range(width):
-                white[checked[found] + i] = True
+    kinds = np.frombuffer(bytearray(data.tobytes().translate(_KINDS)), np.uint8)
+    after = np.append(data[1:], [0, 0]).astype(np.uint8)
+    signs = np.flatnonzero(data == 0xC3)
+    kinds[signs[(after[signs] == 0x97) | (after[signs] == 0xB7)]] = _ODD
+    white = kinds >= _NEWLINE
+    odd = np.flatnonzero((kinds == _ODD) | (kinds == _BLANK))
+    wide = odd[_WIDE[data[odd]]]
+    two = data[wide].astype(np.int64) << 8 | after[wide]
+    three = two << 8 | after[wide + 1]
+    for found, width in ((np.isin(two, _WIDE_WHITE), 2), (np.isin(three, _WIDE_WHITE), 3)):
+        for i in range(width):
+            white[wide[found] + i] = True
     parts = np.zeros(len(data), bool)
     parts[edges[:-1][edges[:-1] < edges[1:]]] = True
     joined = np.zeros(len(data) + 1, bool)  # white space behind white space
-    joined[1:-1] = white[1:] & white[:-1] & ~parts[1:]
-    odd = np.flatnonzero((kinds == _ODD) | joined[:-1])
-    inner = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != _SPACE)
-    parts |= (kinds == _SPACE) & ~joined[:-1] & ~joined[1:]
-    starts = parts.copy()
-    starts[1:] |= inner
+    np.logical_and(white[1:], white[:-1], out=joined[1:-1])
+    joined[1:-1] &= ~parts[1:]
+    spaces = kinds == _SPACE
+    starts = kinds != np.append(kinds[:1], kinds[:-1])
+    starts[1:] &= ~spaces[:-1]
+    spaces &= ~(joined[:-1] | joined[1:])
+    parts |= spaces
+    starts |= parts
     place = np.flatnonzero(starts)
+    odd = np.append(odd, np.flatnonzero(joined))
     if not len(odd):
         return place, np.zeros(len(place), bool)
     begins = parts[place]
@@ -147,7 +152,8 @@ class Segments(dict):
         self.start.extend(islice(accumulate(map(len, ids), initial=self.start[-1]), 1, None))
         self.ids.extend(chain.from_iterable(ids))
         if code == self.kept and not self.full():
-            self.update(zip(pieces, range(code, code + len(pieces))))
+            new = zip(pieces, range(code, code + len(pieces)))
+            self.update(new if max(map(len, pieces)) <= KEPT_BYTES else [one for one in new if len(one[0]) <= KEPT_BYTES])
             self.kept = code + len(pieces)
         return code
 

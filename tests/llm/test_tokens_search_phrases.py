@@ -65,6 +65,58 @@ def test_segments_give_the_ids_of_whole_texts(monkeypatch):
     assert sizes == [len(x) for x in want] and got == [i for x in want for i in x]
 
 
+def encoded(texts, segments):
+    rows = []
+    for _, ids, n in tokens._encode(pa.array(texts, pa.string()), segments):
+        rows += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    return rows
+
+
+def test_words_marks_and_line_ends_are_kept_as_pieces_of_their_own():
+    marks = ["", ",", ".", "!?", "...", ";", ":", ")"]
+    texts = [f"{a}{x}\n{b}{y} {b}{x}" for a in WORDS[5:25] for b in WORDS[25:45] for x in marks for y in marks[:3]]
+    segments = tokens.Segments(PATH, 2)
+    assert encoded(texts, segments) == plain_ids(texts)
+    assert len(segments) < 200  # 40 words at a start, after a line end and after a space, marks, digits; not their combinations
+
+
+def test_odd_places_do_not_send_the_whole_text_through_the_tokenizer():
+    class Noting:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, []
+
+        def encode(self, text, **kw):
+            self.seen.append(text)
+            return self.tokenizer.encode(text, **kw)
+
+    segments = tokens.Segments(PATH, 2)
+    segments.tokenizer = noting = Noting(segments.tokenizer)
+    texts = ["of the new york " * 50 + "one  two it's 3\u3000 four × five" + " of the new york" * 50]
+    assert encoded(texts, segments) == plain_ids(texts)
+    assert noting.seen and max(map(len, noting.seen)) < 20
+
+
+def test_kept_pieces_are_bounded_and_stay_known(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 400)
+    monkeypatch.setattr(tokens, "KEPT_SEGMENTS", 60)
+    monkeypatch.setattr(tokens, "LEARNED_SEGMENTS", 10)
+    common = "of the new york and on to see it all"
+    texts = [f"{common} {common} {''.join(rng.choice('abcde') for _ in range(9))}" for _ in range(200)]
+    segments = tokens.Segments(PATH, 2)
+    assert encoded(texts, segments) == plain_ids(texts)
+    assert 59 <= len(segments) < 70 and len(segments.start) == len(segments) + 2 and b" york" in segments
+    assert encoded(["x" * 1000], segments) == plain_ids(["x" * 1000])
+    segments.forget()
+    assert encoded(["x" * 1000 + " of"], segments) == plain_ids(["x" * 1000 + " of"]) and set(segments) == {b" of"}
+
+
+def test_every_character_beside_letters_marks_and_spaces():
+    places = ["a{}b", "a {}b", "a{} b", "a {} b", "a{}, b", "{}", " {}", "{} ", "a\n{}", "{}\nb", "{}{}", "1{}2"]
+    chars = [*map(chr, range(0x2FF)), "\u1680", "\u180e", *map(chr, range(0x2000, 0x2070)), "\u3000", "\u3001", "\ufeff", "한", "я", "ا", "😀"]
+    texts = [place.replace("{}", c) for c in chars for place in places]
+    assert encoded(texts, tokens.Segments(PATH, 2)) == plain_ids(texts)
+
+
 @pytest.mark.parametrize("encoding", tokens.ENCODINGS)
 def test_token_files(spark, docs, tmp_path, encoding):
     path = str(tmp_path / encoding)
