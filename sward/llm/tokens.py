@@ -43,8 +43,8 @@ KEPT_IDS = 16_000_000
 KEPT_BYTES = 256
 # Bytes above which a text is cut, bytes cut into pieces at a time, and pieces whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 4 << 20
-EXPANDED_CODES = 600_000
+BATCH_BYTES = 3 << 20
+EXPANDED_CODES = 200_000
 # New pieces whose tokens are held together.
 LEARNED_SEGMENTS = 1_000
 
@@ -81,7 +81,7 @@ def _pieces(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray
     follows, so texts are cut before each such space. A part without odd bytes or neighbouring white space is
     cut on where the tokenizer splits it; any other part is one odd piece.
     """
-    kinds = np.frombuffer(bytearray(data.tobytes().translate(_KINDS)), np.uint8)
+    kinds = np.frombuffer(bytearray(data).translate(_KINDS), np.uint8)
     after = np.append(data[1:], [0, 0]).astype(np.uint8)
     signs = np.flatnonzero(data == 0xC3)
     kinds[signs[(after[signs] == 0x97) | (after[signs] == 0xB7)]] = _ODD
@@ -166,7 +166,7 @@ class Segments(dict):
         offsets = np.append(starts, len(data)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         place, different = pieces.indices.to_numpy(), pieces.dictionary.to_numpy(zero_copy_only=False)
-        known = np.fromiter(map(self.get, different, repeat(-1)), np.int64, len(different))
+        known = np.fromiter(map(self.get, different, repeat(-1)), np.int32, len(different))
         strange = np.zeros(len(different), bool)
         strange[place[odd]] = True
         absent = known < 0
@@ -193,7 +193,9 @@ class Segments(dict):
         start, ids = np.frombuffer(self.start, np.int64), np.frombuffer(self.ids, np.int32)
         n = start[codes + 1] - start[codes]
         shift = start[codes] - (np.cumsum(n) - n)
-        return ids[np.repeat(shift, n) + np.arange(n.sum())], n
+        place = np.repeat(shift, n)
+        place += np.arange(len(place))
+        return ids[place], n
 
 
 _segments: dict[tuple[str, int], Segments] = {}
@@ -226,7 +228,7 @@ def _encode(texts: pa.Array, segments: Segments) -> Iterator[tuple[int, np.ndarr
             first = last
         starts = np.concatenate([*starts, np.zeros(0, np.int64)])
         ends = np.searchsorted(starts, text.offsets[1:])
-        codes = np.insert(np.concatenate([*codes, np.zeros(0, np.int64)]), ends, 0)
+        codes = np.insert(np.concatenate([*codes, np.zeros(0, np.int32)]), ends, 0)
         ends += np.arange(1, len(ends) + 1)
         low = start = 0
         while low < len(ends):  # a part of the run's codes at a time, since ids take more room
@@ -248,7 +250,7 @@ def _encoder(tokenizer_path: str, end_id: int):
             for rows, ids, n in _encode(batch.column("text"), segments):
                 stops = np.cumsum(n)
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(ids.astype(np.int32))
+                    pa.array(np.concatenate(([0], stops)).astype(np.int32)), pa.array(ids)
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
