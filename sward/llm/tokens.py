@@ -137,11 +137,12 @@ class Segments(dict):
 
     def trim(self) -> None:
         """Drop the pieces beyond the bounds, or all where few of those kept were met again."""
-        if self.full() and self.known * 5 < self.asked:
-            self.forget()
+        if self.asked >= KEPT_SEGMENTS:
+            if self.full() and self.known * 5 < self.asked:
+                self.forget()
+            self.known = self.asked = 0
         del self.start[self.kept + 1 :]
         del self.ids[self.start[-1] :]
-        self.known = self.asked = 0
 
     def full(self) -> bool:
         return self.kept >= KEPT_SEGMENTS or self.start[self.kept] >= KEPT_IDS

@@ -106,6 +106,8 @@ def test_kept_pieces_are_bounded_and_stay_known(monkeypatch):
     assert encoded(texts, segments) == plain_ids(texts)
     assert 59 <= len(segments) < 70 and len(segments.start) == len(segments) + 2 and b" york" in segments
     assert encoded(["x" * 1000], segments) == plain_ids(["x" * 1000])
+    others = ["".join(rng.choice("vwxyz") for _ in range(9)) for _ in range(400)]  # none of those kept is met again
+    assert encoded(others, segments) == plain_ids(others) and b" york" not in segments
     segments.forget()
     assert encoded(["x" * 1000 + " of"], segments) == plain_ids(["x" * 1000 + " of"]) and set(segments) == {b" of"}
 
