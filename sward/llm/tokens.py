@@ -43,7 +43,7 @@ KEPT_IDS = 16_000_000
 KEPT_BYTES = 256
 # Bytes above which a text is cut, bytes cut into pieces at a time, and pieces whose ids go out at a time.
 CUT_CHARS = 1 << 20
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
 EXPANDED_CODES = 200_000
 # New pieces whose tokens are held together.
 LEARNED_SEGMENTS = 1_000
