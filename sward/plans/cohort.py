@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sward.functions.predicates import except_where, ifelse_in, not_in, strict
@@ -18,7 +18,7 @@ from sward.operators.ranking import (
     top_one, with_group_mean, with_plot_frequency, with_rank_percentile,
 )
 from sward.scale import join_on
-from sward.session import pin
+from sward.session import measured_broadcasts, pin
 
 KEYS = ["site_code", "plot", "Taxon"]
 PLOT_YEAR = ["site_code", "year_trt", "plot"]
@@ -28,6 +28,14 @@ NON_VASCULAR = ["BRYOPHYTE", "LICHEN", "LIVERWORT"]
 GRAMINOIDS = ["GRASS", "GRAMINOID"]
 LONG_LIVED = ["PERENNIAL", "INDETERMINATE", "NULL"]
 ELIGIBLE_TREATMENTS = ["NPK", "Fence"]
+CLIMATE = ["site_richness", "MAP_VAR_v2", "MAP_v2", "MAT_v2", "TEMP_VAR_v2"]
+SITE_COLUMNS = [
+    "site_name", "continent", "country", "experiment_type", "latitude", "longitude", "MAP_v2",
+    "MAP_VAR_v2",
+]
+META = dict.fromkeys(
+    ["site_code", "plot", "trt", "year_trt", *CLIMATE, "vascular_live_mass", "litter_mass", *SITE_COLUMNS]
+)
 
 
 @dataclass
@@ -54,28 +62,40 @@ class Cohort:
     sites: DataFrame
 
 
+def _vascular() -> Column:
+    """Live vascular plants with cover."""
+    return (
+        (F.col("live") == 1)
+        & not_in(F.col("functional_group"), NON_VASCULAR)
+        & (F.col("max_cover") != 0)
+    )
+
+
 def eligible_cover(cover: DataFrame, meta: DataFrame, rule: CohortRules) -> DataFrame:
-    """Cover rows of treated, experimental sites that were also surveyed in year 0."""
+    """Cover rows of treated, experimental sites that were also surveyed in year 0.
+
+    Rows that ``clean_cover`` drops at once stay out, but for those of year 0, which tell of that survey.
+    """
     condition = (
         F.col("trt").isin(ELIGIBLE_TREATMENTS)
         & not_in(F.col("experiment_type"), ["Observational"])
         & (F.col("year_trt") >= 1)
     )
-    rows = joins.keep_keys(cover, joins.eligible_keys(meta, "site_code", condition), ["site_code"])
-    rows = rules.repair_values(rows, rule.year_repairs)
-    rows = joins.keep_keys(rows, rows.filter(F.col("year_trt") == 0), ["site_code"])
+    # the few sites are pinned, so that no join by site moves the rows
+    sites = pin(joins.eligible_keys(meta, "site_code", condition))
+    rows = rules.repair_values(joins.keep_keys(cover, sites, ["site_code"]), rule.year_repairs)
+    # pinned: the sites of year 0, the last years and the rows themselves are read from it, the cover only once
+    first = F.col("year_trt") == 0
+    rows = pin(rows.filter(_vascular() | first))
+    rows = joins.keep_keys(rows, pin(joins.eligible_keys(rows, "site_code", first)), ["site_code"])
     return rules.exclude_values(rows, [("site_code", site) for site in rule.dropped_sites])
 
 
 def clean_cover(rows: DataFrame, rule: CohortRules) -> DataFrame:
     """Live vascular plants after exclusions, merges, imputed rows and repairs."""
-    vascular = rows.filter(
-        (F.col("live") == 1)
-        & not_in(F.col("functional_group"), NON_VASCULAR)
-        & (F.col("max_cover") != 0)
-    )
-    # one row per site on the right, so this join stays local to the rows
-    last = vascular.groupBy("site_code").agg(F.max("year_trt").alias("max_year"))
+    vascular = rows.filter(_vascular())
+    # one pinned row per site on the right, so this join stays local to the rows
+    last = pin(vascular.groupBy("site_code").agg(F.max("year_trt").alias("max_year")))
     kept = join_on(vascular, last, ["site_code"], "left").withColumn(
         "functional_group", rules.collapse(F.col("functional_group"), GRAMINOIDS, "GRAMINOID")
     )
@@ -115,8 +135,8 @@ def ranked_records(rows: DataFrame, name_fix: DataFrame, tie_order: Sequence[str
     )
     order = [F.col(name) for name in [*PLOT_YEAR, *tie_order]]
     traits = ["local_provenance", "functional_group", "local_lifespan"]
-    # pinned: ranks, frequencies, cohort and panel all read the merged records
-    described = pin(joins.first_lookup(merged, tops, ["Taxon"], traits, order))
+    described = joins.first_lookup(merged, tops, ["Taxon"], traits, order)
+    # the ranks pin what they read
     ranked = with_rank_percentile(described, PLOT_YEAR, "max_cover").withColumn(
         "cover", F.col("rel_cover")
     )
@@ -125,12 +145,15 @@ def ranked_records(rows: DataFrame, name_fix: DataFrame, tie_order: Sequence[str
 
 def followed_panel(records: DataFrame, cohort: DataFrame) -> DataFrame:
     """Every year of every leader, unsampled site-years removed, plot frequency attached."""
-    series = joins.left_lookup(
-        cohort.select(*KEYS),
-        records.select(
-            *KEYS, "cover", "max_cover", "rank", "perc_rank", "year_trt", "max_year"
-        ),
-        KEYS,
+    # pinned: the panel reads it twice
+    series = pin(
+        joins.left_lookup(
+            cohort.select(*KEYS),
+            records.select(
+                *KEYS, "cover", "max_cover", "rank", "perc_rank", "year_trt", "max_year"
+            ),
+            KEYS,
+        )
     )
     filled = pin(
         complete_panel(
@@ -158,7 +181,16 @@ def build_cohort(
 
     ``tie_order`` must order the rows of a plot, year and taxon totally.
     """
-    rule = rule or CohortRules()
+    with measured_broadcasts(cover.sparkSession):
+        return _built(cover, meta, name_fix, rule or CohortRules(), tie_order)
+
+
+def _built(
+    cover: DataFrame, meta: DataFrame, name_fix: DataFrame, rule: CohortRules, tie_order: Sequence[str]
+) -> Cohort:
+    # pinned: sites, climate, year 0 and the summary read one; the other's size must be known
+    meta = pin(meta.select(*META))
+    name_fix = pin(name_fix.select("site_code", "Taxon", "NewTaxon"))
     rows = clean_cover(eligible_cover(cover, meta, rule), rule)
     records = pin(ranked_records(rows, name_fix, tie_order))
     leaders = pin(baseline_cohort(records))
@@ -169,10 +201,9 @@ def build_cohort(
     ).select(
         *KEYS, "trt", "local_provenance", "local_lifespan", "functional_group", "avgCover"
     )
-    climate = ["site_richness", "MAP_VAR_v2", "MAP_v2", "MAT_v2", "TEMP_VAR_v2"]
     sites = joins.first_per_key(
         meta, ["site_code"], [F.col("plot"), F.col("year_trt")]
-    ).select("site_code", *climate)
+    ).select("site_code", *CLIMATE)
     plots = meta.filter(F.col("year_trt") == 0).select(
         "site_code", "plot", F.col("vascular_live_mass").alias("initial_live_mass"),
         F.col("litter_mass").alias("initial_litter_mass"),
@@ -190,12 +221,8 @@ def build_cohort(
         .groupBy("site_code").agg(F.count(F.lit(1)).alias("site_rich_0"))
     )
     cohort = pin(joins.left_lookup(described, richness, ["site_code"]))
-    site_columns = [
-        "site_name", "continent", "country", "experiment_type", "latitude", "longitude", "MAP_v2",
-        "MAP_VAR_v2",
-    ]
     summary = unit_summary(
-        meta, cohort, cohort.select("site_code", "site_rich_0").distinct(), site_columns,
+        meta, cohort, cohort.select("site_code", "site_rich_0").distinct(), SITE_COLUMNS,
         [F.col("plot")],
     )
     return Cohort(records=records, panel=panel, cohort=cohort, sites=summary)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 import catalog.base as base
 from sward.operators import ranking
+from sward.plans import cohort as cohort_plan
 from sward.plans.cohort import CohortRules, build_cohort
 from sward.plans.decay import full_design
 from sward.plans.grassland_rules import GRASSLAND
+from sward.session import measured_broadcasts, pin
 from sward.sources.schemas import COVER, NAME_FIX, PLOT_META
 
 SF = os.environ.get("SWARD_TEST_DIR", "/root/testdata/sf0.001")
@@ -134,3 +136,54 @@ def test_fixed_rules_run(spark):
     built = build_cohort(*tiny(spark), GRASSLAND)
     assert built.cohort.filter(F.col("Taxon") == "FORB SP.").count() == 0
     assert built.cohort.count() == 4
+
+
+THRESHOLDS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_rows_much_larger_than_their_files_are_not_broadcast(spark):
+    # 200,000 rows of one name: files of some KB, rows of some MB
+    rows = pin(spark.range(200_000).select((F.col("id") % 1000).alias("k"), F.lit("x" * 40).alias("name")))
+    few = pin(spark.range(10).select(F.col("id").alias("k"), (F.col("id") + 1).alias("y")))
+    spark.conf.set(THRESHOLDS[0], "1m")
+    try:
+        assert "BroadcastHashJoin" in plan(few.join(rows, "k", "left"))
+        with measured_broadcasts(spark):
+            assert [spark.conf.get(key) for key in THRESHOLDS] == ["32768", "1048576"]
+            large, small = few.join(rows, "k", "left"), rows.join(few, "k", "left")
+            assert "BroadcastHashJoin" not in plan(large) and "BroadcastHashJoin" in plan(small)
+            # and measured rows stay below the threshold
+            assert large.count() == 2000 and "BroadcastHashJoin" not in plan(large).split("Initial Plan")[0]
+        assert [spark.conf.get(key, None) for key in THRESHOLDS] == ["1m", None]
+        spark.conf.set(THRESHOLDS[1], "5m")
+        with pytest.raises(ZeroDivisionError), measured_broadcasts(spark):
+            assert [spark.conf.get(key) for key in THRESHOLDS] == ["32768", "5m"]
+            1 / 0
+        assert [spark.conf.get(key) for key in THRESHOLDS] == ["1m", "5m"]
+        spark.conf.set(THRESHOLDS[0], "-1")
+        with measured_broadcasts(spark):
+            assert [spark.conf.get(key) for key in THRESHOLDS] == ["-1", "5m"]
+    finally:
+        for key in THRESHOLDS:
+            spark.conf.unset(key)
+
+
+def test_cohort_reads_its_cover_once_and_broadcasts_no_table_by_the_size_of_its_files(spark, monkeypatch):
+    cover, meta, names = tiny(spark)
+    stored, plans = pin(cover), []
+    place = os.path.basename(os.path.dirname(stored.inputFiles()[0]))
+
+    def recorded(df):
+        plans.append(plan(df))
+        return pin(df)
+
+    monkeypatch.setattr(cohort_plan, "pin", recorded)
+    # the room of a few of these tables' files; a thirtieth of it is less than any of them has
+    spark.conf.set(THRESHOLDS[0], "6k")
+    try:
+        built = build_cohort(stored, meta, names, CohortRules())
+    finally:
+        spark.conf.unset(THRESHOLDS[0])
+    assert built.cohort.count() == 4
+    assert sum(text.count(place) for text in plans) == 1
+    assert not any("BroadcastHashJoin" in text for text in plans)
