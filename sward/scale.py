@@ -139,8 +139,11 @@ def rank_levels(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataF
     )
     earlier = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(*by, "__run").orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = levels.groupBy(*by, "__run").agg(F.sum("__n").alias("__n")).select(
-        *by, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
+    # pinned: one row per run and group, of a size that is known where the levels meet it
+    offsets = pin(
+        levels.groupBy(*by, "__run").agg(F.sum("__n").alias("__n")).select(
+            *by, "__run", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset")
+        )
     )
     above = levels.withColumn("__above", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
     placed = join_on(above, offsets, [*by, "__run"], "left")
